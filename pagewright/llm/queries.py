@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing
 from .bpe import encode_documents
 from .common import table
+from .langid import held_out, identify
+from .pii import find_pii
 
 #: The tokenizer file of op1; never copied into this repository.
 TOKENIZER = "word_bpe_49k.json"
@@ -23,5 +25,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data: doc_id, base counts, base_sha256, spans (all), n_added."""
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text: doc_id, held_out, lang_pred, score."""
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs.select("doc_id", "text"), fit_on=docs)
+    return out.select("doc_id", held_out(out.doc_id).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_pii": op5_pii, "op7_language_id": op7_language_id}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
