@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing
 from .bpe import encode_documents
 from .common import table
+from .jaccard import jaccard_components
 from .langid import held_out, identify
 from .pii import find_pii
 
@@ -30,6 +31,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-equal documents: doc_id, n_shingles, component_id."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text: doc_id, held_out, lang_pred, score."""
     docs = table(spark, sf_dir, "documents")
@@ -37,5 +43,5 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(out.doc_id).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_pii": op5_pii, "op7_language_id": op7_language_id}
+QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_language_id": op7_language_id}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
