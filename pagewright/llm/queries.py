@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, warc
 from .bpe import encode_documents
 from .common import table
 from .jaccard import jaccard_components
@@ -43,5 +43,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(out.doc_id).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_language_id": op7_language_id}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to WARC archives and back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_language_id": op7_language_id, "op8_warc": op8_warc}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
