@@ -10,6 +10,7 @@ from .bpe import encode_documents
 from .common import table
 from .jaccard import jaccard_components
 from .langid import held_out, identify
+from .neardup import near_duplicates
 from .pii import find_pii
 
 #: The tokenizer file of op1; never copied into this repository.
@@ -48,5 +49,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_language_id": op7_language_id, "op8_warc": op8_warc}
+def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-equal vectors: vec_id, n_links, component_id, kept."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_language_id": op7_language_id, "op8_warc": op8_warc, "op10_embedding_neardup": op10_embedding_neardup}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
