@@ -10,13 +10,15 @@ Sets of word shingles under Jaccard distance are a metric space. The join:
    first n - ceil(t n) + 1 shingles, so each such shingle spans a region and no
    pair within the radius is outside all regions. The summary only decides the
    order; any order is exact. Regions with the same members are one.
-3. In each region the least member is the pivot and gets its exact distance to
-   all members. Members within the radius belong to the pivot's cell, one
-   component. The others are told apart by their distance to the pivot: by the
-   triangle inequality a pair within the radius differs by at most the radius
-   there, so bands as wide as the radius, each with the members of the next
-   band as its boundary, are the regions of the next round. Regions that lie in
-   one component are done; small ones are joined pair by pair.
+3. In each region the least member is the pivot; members within the radius of
+   it belong to its cell, one component. Regions that lie in one component are
+   done, small ones are joined pair by pair between components. A larger one is
+   told apart by exact distances to its pivot: by the triangle inequality a pair
+   within the radius differs by at most the radius there, so bands as wide as the
+   radius, each with the members of the next band as its boundary, are the
+   regions of the next round. After some rounds what is left is joined whole.
+   Before a distance is computed, sizes and count sketches rule out pairs by
+   lower bounds that can't err.
 4. Components of all links by star contraction.
 
 All distances are computed on whole sets. A region is never gathered: pivots
@@ -43,13 +45,16 @@ from .components import components
 #: Shingle width, and the similarity of a link as a fraction.
 WIDTH, NUM, DEN = 5, 75, 100
 #: Counters of a task's heavy-hitter summary, and how many sets make a shingle heavy.
-COUNTERS, HEAVY = 8192, 24
+COUNTERS, HEAVY = 1 << 16, 6
+#: Shingles a task gathers before it adds them to its summary.
+GATHERED = 3_000_000
 #: The most heavy shingles that are ordered last.
-MOST_HEAVY = 1 << 16
+MOST_HEAVY = 1 << 18
 #: Packed entries of one bucket, and entries a task holds before it sends them on.
 BUCKET_ENTRIES, HELD_ENTRIES = 400_000, 2_000_000
-#: Members of a region that is joined pair by pair after its first round.
-SMALL_REGION = 12
+#: Members of a region that is joined pair by pair after its first round, and
+#: the rounds after which a larger one is.
+SMALL_REGION, PIVOT_ROUNDS = 200, 3
 #: Ids broadcast at most; more go by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -77,10 +82,10 @@ class HeavyKeys:
 
     def add(self, keys: np.ndarray) -> None:
         new, counts = np.unique(keys, return_counts=True)
-        again = counts > 1
+        again = counts > 1  # single ones would only fill the table
         if len(self.keys):
             again |= np.isin(new, self.keys, assume_unique=True)
-        new, counts = new[again], counts[again]  # a key seen once in a batch adds at most one a batch
+        new, counts = new[again], counts[again]
         every = np.concatenate([self.keys, new])
         order = np.argsort(every, kind="stable")
         every, amount = every[order], np.concatenate([self.counts, counts])[order]
@@ -99,7 +104,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        heavy, seen, id_type = HeavyKeys(), set(), None
+        heavy, seen, id_type, gathered = HeavyKeys(), set(), None, []
         for batch in batches:
             ns, digests, fresh = [], [], []
             id_type = batch.column(0).type
@@ -112,10 +117,14 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
                     fresh.append(s)
                     if len(seen) < 100_000:
                         seen.add(d)
-            if fresh:
-                heavy.add(np.concatenate(fresh))
+            gathered += fresh
+            if sum(map(len, gathered)) >= GATHERED:
+                heavy.add(np.concatenate(gathered))
+                gathered = []
             none = pa.nulls(len(ns), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.int64()), none, none], names=[id_col, "n", "digest", "heavy", "times"])
+        if gathered:
+            heavy.add(np.concatenate(gathered))
         if len(heavy.keys):
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, id_type), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([heavy.keys.view(np.int64)], pa.list_(pa.int64())), pa.array([heavy.counts], pa.list_(pa.int64()))],
@@ -209,7 +218,7 @@ def _regions(table: pa.Table) -> pa.Table:
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, total) for pairs (a, b): sizes of intersection and union."""
+    """(a, b, common, total) for the written pairs (a, b): sizes of intersection and union."""
     left = sets.select(F.col("digest").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("digest").alias("b"), F.col("members").alias("right"))
 
@@ -225,10 +234,42 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 total.append(len(x) + len(y) - n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    # the sets of few pairs are picked out where they lie; then only these move
+    pairs = _few(pairs, pairs.count())
+    joined = left.join(pairs, "a").join(right.join(pairs, "b"), ["a", "b"]).select("a", "b", "left", "right")
     return joined.mapInArrow(run, "a long, b long, common long, total long")
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's members in ranges of the hash; about four in each. Two
+    sets differ in at least as many members as their counts differ by."""
+    bits = max(4, (max(len(s) // 4, 1)).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def sketch_apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of members that only one of two sets has."""
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    n = min(len(x), len(y))
+    return int(np.abs(x.reshape(n, -1).sum(axis=1) - y.reshape(n, -1).sum(axis=1)).sum())
+
+
+def _maybe_near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) but those whose sketches put them outside the radius."""
+    left = sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("left"))
+    right = sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("right"))
+
+    def run(batches):
+        for batch in batches:
+            most = (np.asarray(batch.column(4)) + np.asarray(batch.column(5))) * (den - num)
+            keep = [sketch_apart(x.as_py(), y.as_py()) * (den + num) <= m for x, y, m in zip(batch.column(2), batch.column(3), most)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right", "na", "nb")
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def _few(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_IDS else df
 
@@ -260,41 +301,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = None
     wanted = regions.select(F.col("member").alias("digest")).distinct()
     wanted = scratch.put(wanted.join(classes, "digest"), "wanted")
-    sets = scratch.put(_sets(docs, wanted, id_col, text_col, width), "sets")
+    sketches = scratch.put(_sets(docs, wanted, id_col, text_col, width, "sketch"), "sketches")
     labels = wanted.select(F.col("digest").alias("node"), F.col("digest").alias("root"))
-    sizes = wanted.select("digest", "n")
+    sizes = wanted.select(F.col("digest").alias("node"), "n")
     round_ = 0
     while True:
-        known = regions.join(labels, F.col("member") == F.col("node")).select("region", "member", "root")
+        known = regions.join(labels.join(sizes, "node"), F.col("member") == F.col("node")).select("region", "member", "root", "n")
         about = known.groupBy("region").agg(F.min("member").alias("pivot"), F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"))
         about = about.where("r0 <> r1").select("region", "pivot", "members")
         open_ = scratch.put(known.join(about, "region"), f"open-{round_}")
-        n_open = open_.count()
-        if not n_open:
+        if not open_.limit(1).count():
             break
-        by_pivot = open_.where((F.col("members") > SMALL_REGION) | F.lit(round_ == 0)).where("member <> pivot").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
-        pairs = by_pivot
-        if round_:
-            few = open_.where(F.col("members") <= SMALL_REGION)
-            one, two = few.select("region", F.col("member").alias("a"), F.col("root").alias("ra")), few.select("region", F.col("member").alias("b"), F.col("root").alias("rb"))
-            pairs = pairs.union(one.join(two, "region").where("a < b and ra <> rb").select("a", "b"))
-        na, nb = sizes.select(F.col("digest").alias("a"), F.col("n").alias("na")), sizes.select(F.col("digest").alias("b"), F.col("n").alias("nb"))
-        pairs = pairs.distinct().join(na, "a").join(nb, "b")
-        # sizes apart by more than the radius: the distance needn't be computed
+        # a pair whose sizes are further apart than the radius can't be within it
         near_size = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-        told_apart = pairs.where(~near_size).select("a", "b", F.lit(0).cast("long").alias("common"), F.lit(1).cast("long").alias("total"))
-        measured = _distances(pairs.where(near_size).select("a", "b"), sets)
-        distances = scratch.put(measured.union(told_apart), f"distances-{round_}")
+        all_pairs = F.lit(round_ >= PIVOT_ROUNDS) | (F.col("members") <= SMALL_REGION) if round_ else F.lit(False)
+        few = open_.where(all_pairs)
+        one = few.select("region", F.col("member").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+        two = few.select("region", F.col("member").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+        pairs = one.join(two, "region").where(F.expr("a < b and ra <> rb") & near_size).select("a", "b")
+        spokes = open_.where(~all_pairs & (F.col("member") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("member").alias("b"), F.col("n").alias("nb"))
+        if not round_:  # the cells' first pivots: only who is near them matters yet
+            spokes = spokes.distinct().join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(near_size).select("a", "b")
+            maybe = _maybe_near(spokes, sketches, num, den)
+        else:  # the windows need all distances to the pivots
+            maybe = _maybe_near(pairs.distinct(), sketches, num, den).union(spokes.select("a", "b")).distinct()
+        maybe = scratch.put(maybe, f"maybe-{round_}")
+        ends = maybe.select(F.col("a").alias("digest")).union(maybe.select("b")).distinct()
+        ends = scratch.put(wanted.join(ends, "digest", "left_semi"), f"ends-{round_}")
+        sets = scratch.put(_sets(docs, ends, id_col, text_col, width, "members"), f"sets-{round_}")
+        distances = scratch.put(_distances(maybe, sets), f"distances-{round_}")
+        scratch.drop(f"sets-{round_}")
         new = distances.where(F.col("common") * den >= F.col("total") * num).select("a", "b")
         links = new if links is None else links.union(new)
-        if round_:
-            scratch.drop(f"labels-{round_ - 1}")
         roots = components(links, scratch, f"cc{round_}")
         labels = scratch.put(wanted.select(F.col("digest").alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), f"labels-{round_}")
-        regions = scratch.put(_next_regions(open_, distances, round_, num, den), f"regions-{round_ + 1}")
-        scratch.drop(f"regions-{round_}", f"open-{round_}")
+        if round_ >= PIVOT_ROUNDS:  # all regions have been joined whole
+            break
+        if round_:
+            regions = scratch.put(_next_regions(open_, distances, round_, num, den), f"regions-{round_ + 1}")
+            scratch.drop(f"regions-{round_}" if round_ > 1 else "regions-0")
+        scratch.drop(f"open-{round_}", f"maybe-{round_}")
         round_ += 1
-    scratch.drop("sets")
 
     reps = classes.join(labels, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "digest").alias("root"))
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -306,42 +353,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _next_regions(open_: DataFrame, distances: DataFrame, round_: int, num: int, den: int) -> DataFrame:
     """The regions of the next round from the members' distances to the pivots.
 
-    After its first round a small region has been joined pair by pair and is
-    done. The pivot is done everywhere: it has met all members. The others fall
-    into bands as wide as the radius; a band's region holds the next band too."""
-    rest = open_.where(F.col("member") != F.col("pivot"))
-    if round_:
-        rest = rest.where(F.col("members") > SMALL_REGION)
+    Small regions have been joined pair by pair and are done. In larger ones the
+    pivot is done: it has met all members. The others fall into bands as wide
+    as the radius; a band's region holds the next band too."""
+    rest = open_.where((F.col("members") > SMALL_REGION) & (F.col("member") != F.col("pivot")))
     d = distances.select(F.col("a").alias("pivot"), F.col("b").alias("member"), "common", "total")
     rest = rest.join(d, ["pivot", "member"])
     # floor of distance / radius, in whole numbers
-    band = F.floor((F.col("total") - F.col("common")) * den / (F.col("total") * (den - num)))
-    apart = F.col("common") == 0
-    rest = rest.select("region", "member", F.when(apart, F.lit(-1)).otherwise(band).cast("int").alias("band"))
-    # members whose distance wasn't computed may be anywhere: they go to every band
-    top = den // (den - num) + 1
-    windows = F.when(F.col("band") < 0, F.sequence(F.lit(0), F.lit(top))).otherwise(F.array_distinct(F.array(F.greatest(F.col("band") - 1, F.lit(0)), F.col("band"))))
-    out = rest.select(F.col("region"), "member", F.explode(windows).alias("w"))
+    band = F.floor((F.col("total") - F.col("common")) * den / (F.col("total") * (den - num))).cast("int")
+    windows = F.array_distinct(F.array(F.greatest(band - 1, F.lit(0)), band))
+    out = rest.select("region", "member", F.explode(windows).alias("w"))
     return out.select(F.xxhash64("region", "w", F.lit(round_)).alias("region"), "member").distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(digest, members) of the wanted classes, from one text of each."""
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, what: str) -> DataFrame:
+    """(digest, n, sketch or members) of the wanted classes, from one text of each."""
     n = wanted.count()
     ids = wanted.select(F.col("rep").alias("_rep")).distinct()
     some = docs.select(id_col, text_col).join(_few(ids, n), F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi")
 
     def run(batches):
         for batch in batches:
-            digests, members = [], []
+            digests, sizes, held = [], [], []
             for text in batch.column(0):
                 s = shingle_set(text.as_py(), width)
                 if len(s):
                     digests.append(digest(s))
-                    members.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(members, pa.binary())], names=["digest", "members"])
+                    sizes.append(len(s))
+                    held.append(s.tobytes() if what == "members" else sketch(s))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], names=["digest", "n", what])
 
-    made = some.select(text_col).mapInArrow(run, "digest long, members binary")
+    made = some.select(text_col).mapInArrow(run, f"digest long, n long, {what} binary")
     made = made.join(_few(wanted.select("digest"), n), "digest", "left_semi")
     return made.dropDuplicates(["digest"])
 
