@@ -11,7 +11,7 @@
 4. Union. Adjacency lists that a node got in several shards are united, and go
    back to every block that has the node.
 5. Search. Every class looks from its home shard into each block of it: a greedy
-   search from the block's medoid reaches its surroundings, then the range is
+   search from the nearest of the block's medoids reaches its surroundings, then the range is
    expanded over the graph while nodes within ``SLACK`` of the threshold turn up.
 6. Verify. Cosines of what was found are computed in double precision from the
    vectors; only pairs at or over the threshold count. ``audit`` measures recall
@@ -45,6 +45,10 @@ OVERLAP, BLOCK = 3, 1500
 #: Neighbours a node keeps, candidates it is given, the pruning factor, the
 #: width of the greedy search and how far below the threshold the range goes on.
 DEGREE, CANDIDATES, ALPHA, BEAM, SLACK = 24, 64, 1.2, 48, 0.12
+#: Neighbours that keep a link back to a node whatever pruning says.
+FIRST = 3
+#: Nodes that an entry node stands for, and entries a search begins with.
+PER_MEDOID, ENTRIES = 20, 8
 #: Rows a query batch holds.
 QUERIES = 2000
 
@@ -93,19 +97,27 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATE
             s = x[row] @ x[i]
             row = row[np.argsort(-s, kind="stable")]
             e = {int(row[j]) for j in robust_prune(x[row] @ x[i], x[row] @ x[row].T, 2 * degree, alpha)}
-        out[i] = sorted(e)
-    return out
+        back[i] = set(e)
+    for i, e in enumerate(out):  # pruning may not cut a node off: its first neighbours lead to it
+        for j in e[:FIRST]:
+            back[j].add(i)
+    return [sorted(e) for e in back]
 
 
-def medoid(x: np.ndarray) -> int:
-    return int(np.argmax(x @ x.mean(axis=0)))
+def medoids(x: np.ndarray) -> np.ndarray:
+    """Entry nodes: the node nearest to each of the block's own centres, so that
+    a tight group of which no kept neighbour lies outside has one as well."""
+    c = fit_centres(x, max(1, len(x) // PER_MEDOID), rounds=4)
+    return np.unique(np.argmax(x @ c.T, axis=0))
 
 
-def range_search(q: np.ndarray, x: np.ndarray, graph: list[np.ndarray], start: int, threshold: float = THRESHOLD, beam: int = BEAM, slack: float = SLACK) -> np.ndarray:
+def range_search(q: np.ndarray, x: np.ndarray, graph: list[np.ndarray], entries: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM, slack: float = SLACK) -> np.ndarray:
     """Nodes with similarity >= threshold to ``q`` that the graph leads to."""
     seen = np.zeros(len(x), bool)
-    seen[start] = True
-    ids, sims, open_ = np.array([start]), np.array([x[start] @ q]), np.array([True])
+    sims = x[entries] @ q
+    best = np.argsort(-sims, kind="stable")[:ENTRIES]
+    ids, sims, open_ = entries[best], sims[best], np.ones(len(best), bool)
+    seen[ids] = True
     while open_.any():  # greedy: expand all open nodes of the beam at once
         front, open_ = ids[open_], np.zeros(len(ids), bool)
         new = np.unique(np.concatenate([graph[i] for i in front]))
@@ -233,7 +245,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         for e in right.to:
             at = np.minimum(np.searchsorted(nodes, e), len(nodes) - 1)
             graph.append(at[nodes[at] == e])
-        start = medoid(x)
+        start = medoids(x)
         links, root = np.zeros(len(left), np.int64), {}
 
         def find(i):
