@@ -12,6 +12,7 @@ from .jaccard import jaccard_components
 from .langid import held_out, identify
 from .neardup import near_duplicates
 from .pii import find_pii
+from .simhash import fingerprints
 
 #: The tokenizer file of op1; never copied into this repository.
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +28,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of texts and edited texts: doc_id, n_chars, edited_sha256,
+    fingerprint, edited_fingerprint, near_edited, near_next, n_within."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data: doc_id, base counts, base_sha256, spans (all), n_added."""
     return find_pii(table(spark, sf_dir, "documents"))
@@ -54,5 +61,5 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_language_id": op7_language_id, "op8_warc": op8_warc, "op10_embedding_neardup": op10_embedding_neardup}
+QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_language_id": op7_language_id, "op8_warc": op8_warc, "op10_embedding_neardup": op10_embedding_neardup}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
