@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, warc
+from . import chat, mixing, secrets, warc
 from .bpe import encode_documents
 from .common import table
 from .jaccard import jaccard_components
@@ -23,6 +23,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of all conversations in canonical JSON, with calls and results linked."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix: doc_id, size, source_size, target, taken, copies."""
     return mixing.rates(table(spark, sf_dir, "documents"))
@@ -56,10 +61,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of secrets: doc_id, start, length, candidate_sha256, score, is_secret."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-equal vectors: vec_id, n_links, component_id, kept."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_language_id": op7_language_id, "op8_warc": op8_warc, "op10_embedding_neardup": op10_embedding_neardup}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_language_id": op7_language_id, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_embedding_neardup": op10_embedding_neardup}
+ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE, "op3_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
