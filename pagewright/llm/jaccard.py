@@ -10,15 +10,18 @@ Sets of word shingles under Jaccard distance are a metric space. The join:
    first n - ceil(t n) + 1 shingles, so each such shingle spans a region and no
    pair within the radius is outside all regions. The summary only decides the
    order; any order is exact. Regions with the same members are one.
-3. In each region the least member is the pivot; members within the radius of
-   it belong to its cell, one component. Regions that lie in one component are
-   done, small ones are joined pair by pair between components. A larger one is
-   told apart by exact distances to its pivot: by the triangle inequality a pair
-   within the radius differs by at most the radius there, so bands as wide as the
-   radius, each with the members of the next band as its boundary, are the
-   regions of the next round. After some rounds what is left is joined whole.
-   Before a distance is computed, sizes and count sketches rule out pairs by
-   lower bounds that can't err.
+3. In each region the member that is in most regions is the pivot; members within the radius of
+   it belong to its cell, one component. Cells form in the first rounds, each
+   member meeting one pivot a round. Regions that lie in one component are done.
+   Those around one pivot are merged, so that a pair meets once, and split by the distance to the empty set, that is, by size:
+   windows of size classes, each with the smaller class as its boundary. A window
+   is joined in memory between components, where sizes and count sketches rule
+   out pairs by lower bounds that can't err; the pairs left get exact distances.
+   A window too large for that is told apart by exact distances to its pivot: by
+   the triangle inequality a pair within the radius differs by at most the radius
+   there, so bands as wide as the radius, each with the members of the next band
+   as its boundary, are the regions of the next round. What is still too large
+   after some rounds is joined block by block.
 4. Components of all links by star contraction.
 
 All distances are computed on whole sets. A region is never gathered: pivots
@@ -52,9 +55,9 @@ GATHERED = 3_000_000
 MOST_HEAVY = 1 << 18
 #: Packed entries of one bucket, and entries a task holds before it sends them on.
 BUCKET_ENTRIES, HELD_ENTRIES = 400_000, 2_000_000
-#: Members of a region that is joined pair by pair after its first round, and
-#: the rounds after which a larger one is.
-SMALL_REGION, PIVOT_ROUNDS = 200, 3
+#: First rounds, in which cells form; members of a region that is joined as a
+#: whole after them; the rounds after which a larger one is, in blocks of members.
+CELL_ROUNDS, WHOLE_REGION, PIVOT_ROUNDS, BLOCK = 2, 3000, 4, 1000
 #: Ids broadcast at most; more go by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -241,9 +244,9 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of a set's members in ranges of the hash; about four in each. Two
+    """Counts of a set's members in ranges of the hash, about one in each. Two
     sets differ in at least as many members as their counts differ by."""
-    bits = max(4, (max(len(s) // 4, 1)).bit_length())
+    bits = max(4, (max(len(s) - 1, 1)).bit_length())
     counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
@@ -270,6 +273,66 @@ def _maybe_near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     return joined.mapInArrow(run, "a long, b long")
 
 
+def class_starts(most: int, num: int = NUM, den: int = DEN) -> list[int]:
+    """Least sizes of the size classes up to ``most``: a set within the radius of
+    one in class c is in class c - 1, c or c + 1."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, -(-out[-1] * den // num)))
+    return out
+
+
+def near_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes], side: np.ndarray, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
+    """Pairs of different components that sizes and sketches leave possible.
+    With ``side`` 0 and 1 (two blocks) only pairs across; else -1."""
+    out: list[tuple[int, int]] = []
+    folded: dict[int, np.ndarray] = {}
+
+    def at_length(k):
+        # all sketches that are at least k long, folded to k counts
+        if k not in folded:
+            folded[k] = np.stack([np.frombuffer(x, np.uint8).reshape(k, -1).sum(axis=1, dtype=np.int16) if len(x) >= k else np.zeros(k, np.int16) for x in sketches])
+        return folded[k]
+
+    long = np.array([len(x) for x in sketches])
+    for i in range(len(node)):
+        ok = (n * den >= n[i] * num) & (n[i] * den >= n * num) & (root != root[i]) & (node > node[i])
+        if side[i] >= 0:
+            ok &= side != side[i]
+        js = np.flatnonzero(ok)
+        for k in np.unique(np.minimum(long[js], long[i])) if len(js) else ():
+            some = js[np.minimum(long[js], long[i]) == k]
+            f = at_length(int(k))
+            apart = np.abs(f[some] - f[i]).sum(axis=1, dtype=np.int64)
+            some = some[apart * (den + num) <= (n[some] + n[i]) * (den - num)]
+            out += [(int(node[i]), int(node[j])) for j in some]
+    return out
+
+
+def _join_regions(open_: DataFrame, sketches: DataFrame, starts: list[int], whole: bool, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) of the size windows of open regions; windows larger
+    than ``WHOLE_REGION`` only if ``whole``, in blocks against blocks."""
+    cls = sum((F.when(F.col("n") >= v, 1).otherwise(0) for v in starts), F.lit(0))
+    windows = open_.withColumn("c", cls).withColumn("w", F.explode(F.array(F.col("c"), F.col("c") + 1)))
+    size = windows.groupBy("region", "w").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    size = size.where(F.col("m") > WHOLE_REGION) if whole else size.where(F.col("m") <= WHOLE_REGION)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int") if whole else F.lit(1)
+    told = windows.join(size.select("region", "w", blocks.alias("blocks")), ["region", "w"]).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    # a block meets itself and every other: (lesser, greater)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    told = told.withColumn("o", other).withColumn("b0", F.least("block", "o")).withColumn("b1", F.greatest("block", "o"))
+    told = told.withColumn("side", F.when(F.col("b0") == F.col("b1"), -1).otherwise((F.col("block") == F.col("b1")).cast("int")))
+    told = told.join(sketches.select(F.col("digest").alias("member"), "sketch"), "member").select("region", "w", "b0", "b1", "member", "root", "n", "side", "sketch")
+
+    def join(t: pa.Table) -> pa.Table:
+        col = lambda k: np.asarray(t[k])
+        found = near_pairs(col("member"), col("root"), col("n"), t["sketch"].to_pylist(), col("side"), num, den)
+        a, b = zip(*found) if found else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return told.groupBy("region", "w", "b0", "b1").applyInArrow(join, "a long, b long").distinct()
+
+
 def _few(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_IDS else df
 
@@ -303,28 +366,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = scratch.put(wanted.join(classes, "digest"), "wanted")
     sketches = scratch.put(_sets(docs, wanted, id_col, text_col, width, "sketch"), "sketches")
     labels = wanted.select(F.col("digest").alias("node"), F.col("digest").alias("root"))
-    sizes = wanted.select(F.col("digest").alias("node"), "n")
+    # the more regions a member is in, the more of it others share: cells grow around such
+    degrees = regions.groupBy(F.col("member").alias("node")).agg(F.count("*").alias("degree"))
+    sizes = scratch.put(wanted.select(F.col("digest").alias("node"), "n").join(degrees, "node"), "sizes")
+    starts = class_starts(classes.agg(F.max("n")).first()[0] or 1, num, den)
     round_ = 0
     while True:
-        known = regions.join(labels.join(sizes, "node"), F.col("member") == F.col("node")).select("region", "member", "root", "n")
-        about = known.groupBy("region").agg(F.min("member").alias("pivot"), F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        about = about.where("r0 <> r1").select("region", "pivot", "members")
+        known = regions.join(labels.join(sizes, "node"), F.col("member") == F.col("node")).select("region", "member", "root", "n", "degree")
+        about = known.groupBy("region").agg(F.min_by("member", F.struct(-F.col("degree"), "member")).alias("pivot"), F.max("degree").alias("p_degree"), F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        about = about.where("r0 <> r1").select("region", "pivot", "p_degree", "members")
         open_ = scratch.put(known.join(about, "region"), f"open-{round_}")
         if not open_.limit(1).count():
             break
         # a pair whose sizes are further apart than the radius can't be within it
         near_size = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-        all_pairs = F.lit(round_ >= PIVOT_ROUNDS) | (F.col("members") <= SMALL_REGION) if round_ else F.lit(False)
-        few = open_.where(all_pairs)
-        one = few.select("region", F.col("member").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-        two = few.select("region", F.col("member").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-        pairs = one.join(two, "region").where(F.expr("a < b and ra <> rb") & near_size).select("a", "b")
-        spokes = open_.where(~all_pairs & (F.col("member") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("member").alias("b"), F.col("n").alias("nb"))
-        if not round_:  # the cells' first pivots: only who is near them matters yet
-            spokes = spokes.distinct().join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(near_size).select("a", "b")
+        if round_ < CELL_ROUNDS:
+            # cells first: each member meets one pivot of another component
+            spokes = open_.join(labels.select(F.col("node").alias("pivot"), F.col("root").alias("p_root")), "pivot").where("p_root <> root")
+            spokes = spokes.groupBy(F.col("member").alias("b")).agg(F.min_by("pivot", F.struct(-F.col("p_degree"), "pivot")).alias("a"), F.first("n").alias("nb"))
+            spokes = spokes.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(near_size).select("a", "b")
             maybe = _maybe_near(spokes, sketches, num, den)
-        else:  # the windows need all distances to the pivots
-            maybe = _maybe_near(pairs.distinct(), sketches, num, den).union(spokes.select("a", "b")).distinct()
+        else:
+            maybe = _join_regions(open_, sketches, starts, round_ >= PIVOT_ROUNDS, num, den)
+            if round_ < PIVOT_ROUNDS:  # the bands of larger windows need all distances to the pivots
+                spokes = open_.where((F.col("members") > WHOLE_REGION) & (F.col("member") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("member").alias("b"))
+                maybe = maybe.union(spokes).distinct()
         maybe = scratch.put(maybe, f"maybe-{round_}")
         ends = maybe.select(F.col("a").alias("digest")).union(maybe.select("b")).distinct()
         ends = scratch.put(wanted.join(ends, "digest", "left_semi"), f"ends-{round_}")
@@ -337,9 +403,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         labels = scratch.put(wanted.select(F.col("digest").alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), f"labels-{round_}")
         if round_ >= PIVOT_ROUNDS:  # all regions have been joined whole
             break
-        if round_:
+        if round_ == CELL_ROUNDS - 1:
+            # regions around one pivot hold much the same members: as one, each pair meets once
+            regions = scratch.put(open_.select(F.col("pivot").alias("region"), "member").distinct(), "merged")
+        if round_ >= CELL_ROUNDS:
             regions = scratch.put(_next_regions(open_, distances, round_, num, den), f"regions-{round_ + 1}")
-            scratch.drop(f"regions-{round_}" if round_ > 1 else "regions-0")
+            scratch.drop(f"regions-{round_}" if round_ > CELL_ROUNDS else "merged")
         scratch.drop(f"open-{round_}", f"maybe-{round_}")
         round_ += 1
 
@@ -353,10 +422,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _next_regions(open_: DataFrame, distances: DataFrame, round_: int, num: int, den: int) -> DataFrame:
     """The regions of the next round from the members' distances to the pivots.
 
-    Small regions have been joined pair by pair and are done. In larger ones the
+    Windows of regions that are small enough have been joined. In larger ones the
     pivot is done: it has met all members. The others fall into bands as wide
     as the radius; a band's region holds the next band too."""
-    rest = open_.where((F.col("members") > SMALL_REGION) & (F.col("member") != F.col("pivot")))
+    rest = open_.where((F.col("members") > WHOLE_REGION) & (F.col("member") != F.col("pivot")))
     d = distances.select(F.col("a").alias("pivot"), F.col("b").alias("member"), "common", "total")
     rest = rest.join(d, ["pivot", "member"])
     # floor of distance / radius, in whole numbers
