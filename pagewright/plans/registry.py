@@ -1,15 +1,355 @@
-"""Registered queries and the SQL each must agree with."""
+"""Registered queries: each runs one operator over its whole fixture table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import lists as L
+from ..functions import scores as S
+from ..functions import text as T
+from ..operators import chunks as C
+from ..operators import pages as P
+from ..operators import quality as Q
+from ..operators import questions as G
+from ..operators import retrieve as R
+from ..sources.io import table
+from ..streaming.ingest import distinct_events
+from . import oracles
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _pages(s, d):
+    return table(s, d, "pages")
+
+
+def _docs(s, d):
+    return table(s, d, "documents")
+
+
+def _chunks(s, d):
+    """Chunks of all documents; a document's URL is made of its source and id."""
+    return C.chunk_documents(_docs(s, d), F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")), T.clean_text(F.col("text")))
+
+
+def _topics(s, d):
+    """Each document's most frequent long word as its topic."""
+    low = F.filter(T.words(F.lower("text")), lambda w: (F.length(w) > 5) & w.rlike("^[a-z]+$"))
+    w = _docs(s, d).select(F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("doc_url"), F.explode(low).alias("topic"))
+    n = w.groupBy("doc_url", "topic").agg(F.count("*").alias("n"))
+    best = n.groupBy("doc_url").agg(F.min_by("topic", F.struct(-F.col("n"), "topic")).alias("topic"))
+    return best.withColumn("topic_type", S.topic_type(F.col("topic"), L.FIXTURE_TYPES))
+
+
+def _pairs(s, d):
+    return Q.conversation_pairs(table(s, d, "conversations"))
+
+
+def _evaluated(s, d):
+    return Q.evaluated(_pairs(s, d))
+
+
+def _hits(s, d, k):
+    v = table(s, d, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return R.vector_topk(asked, v, k)
+
+
+def _with_texts(s, d, hits):
+    docs = _docs(s, d).select("doc_id", "text", "source")
+    q = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("q_text"), F.col("source").alias("q_source"))
+    return hits.join(docs, hits.vec_id == docs.doc_id).join(q, "query_id")
+
+
+@query
+def page_url_parts(s, d):
+    return _pages(s, d).select("page_id", F.split_part(F.regexp_replace("url", "https?://", ""), F.lit("/"), F.lit(1)).alias("domain"), F.substring_index("url", "/", -1).alias("last_segment"))
+
+
+@query
+def page_url_priority(s, d):
+    return _pages(s, d).select("page_id", F.round(S.url_priority(F.col("url")), 6).alias("priority"))
+
+
+@query
+def page_url_valid(s, d):
+    return _pages(s, d).select("page_id", P.is_valid_url(F.col("url"), "example.net", ["/en/1"]).alias("is_valid"))
+
+
+@query
+def robots_prefix_anti_join(s, d):
+    rules = s.createDataFrame([("/en",), ("/p/",)], "prefix string")
+    return P.robots_anti_join(_pages(s, d), rules).select("page_id", "url")
+
+
+@query
+def page_title_extract(s, d):
+    return _pages(s, d).select("page_id", T.title_of(P.main_text(F.col("html"))).alias("title"))
+
+
+@query
+def page_links_distinct(s, d):
+    return P.links(_pages(s, d)).select("page_id", "dst_url")
+
+
+@query
+def frontier_anti_join(s, d):
+    p = _pages(s, d)
+    return P.frontier(P.links(p).select(F.col("dst_url").alias("url")), p)
+
+
+@query
+def page_main_text(s, d):
+    return _pages(s, d).select("page_id", P.main_text(F.col("html")).alias("text"))
+
+
+@query
+def page_quality_score(s, d):
+    url = F.concat(F.lit("https://site.example/"), F.col("source"))
+    return _docs(s, d).select("doc_id", F.round(S.page_quality(F.col("text"), url, L.FIXTURE_PHRASES), 6).alias("quality"))
+
+
+@query
+def valid_content_filter(s, d):
+    return _docs(s, d).where(T.is_valid_content(F.col("text"))).select("doc_id")
+
+
+@query
+def clean_text(s, d):
+    return _docs(s, d).select("doc_id", T.clean_text(F.col("text")).alias("text"))
+
+
+@query
+def sentences(s, d):
+    return _docs(s, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query
+def paragraph_groups(s, d):
+    return _docs(s, d).select("doc_id", F.posexplode(T.groups_of(T.sentences(F.col("text")), 5)).alias("pos", "paragraph"))
+
+
+@query
+def chunk_pack(s, d):
+    return _docs(s, d).select("doc_id", F.posexplode(C.pack(C.paragraphs(F.col("text")))).alias("pos", "chunk"))
+
+
+@query
+def chunk_documents(s, d):
+    return _chunks(s, d)
+
+
+@query
+def chunk_sliding_windows(s, d):
+    return _docs(s, d).select("doc_id", F.posexplode(T.windows_of(T.sentences(F.col("text")))).alias("pos", "chunk"))
+
+
+@query
+def entities_regex(s, d):
+    e = _docs(s, d).select("doc_id", F.explode(C.entities(F.col("text"))).alias("e"))
+    return e.select("doc_id", "e.*")
+
+
+@query
+def key_phrases_tfidf(s, d):
+    return C.key_phrases(_docs(s, d), "doc_id", F.col("text"))
+
+
+@query
+def inverted_index(s, d):
+    return R.postings(_docs(s, d), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query
+def kb_stats(s, d):
+    docs = _docs(s, d)
+    return R.kb_stats(docs, table(s, d, "conversations"), table(s, d, "embeddings"), R.postings(docs, "doc_id", F.col("text")))
+
+
+@query
+def text_search_topk(s, d):
+    return R.text_search(table(s, d, "benchmark"), _docs(s, d), "item_id", F.col("text"), "doc_id", F.col("text"))
+
+
+@query
+def fallback_search_topk(s, d):
+    own = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    return R.fallback_search(table(s, d, "benchmark"), _docs(s, d), "item_id", F.col("text"), own, "doc_id", F.col("text"), F.col("source"))
+
+
+@query
+def vector_topk(s, d):
+    return _hits(s, d, 5)
+
+
+@query
+def hybrid_topk_boost(s, d):
+    h = _with_texts(s, d, _hits(s, d, 20)).withColumn("terms", F.array_distinct(F.slice(T.words(F.lower("q_text")), 1, 8)))
+    return R.term_boost(h, F.col("terms"), F.lower("text"), "query_id").select("query_id", "vec_id", "score", "first_rank", "rank")
+
+
+@query
+def rerank_blend(s, d):
+    cross = ((F.col("vec_id") * 7 + F.col("query_id") * 13) % 100).cast("double") / 100
+    return R.rerank(_hits(s, d, 20), cross, "query_id", "vec_id").select("query_id", "vec_id", "score", "final_score", "rank")
+
+
+@query
+def diverse_select(s, d):
+    h = _with_texts(s, d, _hits(s, d, 30)).withColumn("is_source", F.col("source") == F.col("q_source"))
+    return R.diverse(h, "query_id", "source", 12).select("query_id", "vec_id", "pick")
+
+
+@query
+def context_merge(s, d):
+    return R.merged_context(_with_texts(s, d, _hits(s, d, 30)), "query_id", "source", "text")
+
+
+@query
+def topic_type(s, d):
+    return _docs(s, d).select("doc_id", S.topic_type(F.substring("text", 1, 60), L.FIXTURE_TYPES).alias("topic_type"))
+
+
+@query
+def topic_content_budget(s, d):
+    return G.topic_content(_topics(s, d), _chunks(s, d))
+
+
+@query
+def rule_questions(s, d):
+    return G.rule_questions(_topics(s, d), _chunks(s, d))
+
+
+@query
+def question_cap_per_url(s, d):
+    q = G.rule_questions(_topics(s, d), _chunks(s, d)).withColumn("source", F.split_part("doc_url", F.lit("/"), F.lit(3)))
+    q = q.withColumn("pos", F.concat_ws("#", "doc_url", F.col("pos").cast("string")))
+    return G.capped(q, "source").select("source", "text", "quality_score", "rank")
+
+
+@query
+def question_dedupe(s, d):
+    t = table(s, d, "conversations").where("role = 'user'").withColumn("quality_score", F.lit(0.6))
+    return G.without_repeats(t, "conv_id", pos="turn")
+
+
+@query
+def conversation_qa_pairs(s, d):
+    return _pairs(s, d).select("pos", "question", "answer", "source_url", "n_context")
+
+
+@query
+def score_relevance(s, d):
+    return _pairs(s, d).select("pos", F.round(S.relevance(F.col("question"), F.col("answer")), 6).alias("relevance"))
+
+
+@query
+def score_factuality(s, d):
+    return _pairs(s, d).select("pos", F.round(S.factuality(F.col("answer"), F.col("context")), 6).alias("factuality"))
+
+
+@query
+def score_completeness(s, d):
+    return _pairs(s, d).select("pos", F.round(S.completeness(F.col("question"), F.col("answer")), 6).alias("completeness"))
+
+
+@query
+def evaluate_answers(s, d):
+    return _evaluated(s, d).select("pos", "relevance", "factuality", "completeness", "formatting", "overall")
+
+
+@query
+def format_answer(s, d):
+    return table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.format_answer(F.col("text")).alias("answer"))
+
+
+@query
+def answer_signature_dedupe(s, d):
+    return Q.by_signature(_evaluated(s, d)).select("pos", "signature", "overall")
+
+
+@query
+def filter_qa_pairs(s, d):
+    return Q.filtered(_evaluated(s, d)).select("pos", "overall")
+
+
+@query
+def metrics_avg_scores(s, d):
+    return Q.average_scores(_evaluated(s, d))
+
+
+@query
+def metrics_distribution(s, d):
+    return Q.distribution(_evaluated(s, d))
+
+
+@query
+def topic_coverage_top10(s, d):
+    return Q.topic_coverage(_docs(s, d), "source")
+
+
+@query
+def url_coverage(s, d):
+    return Q.url_coverage(_pages(s, d).select(T.url_host(F.col("url")).alias("host")), "host")
+
+
+@query
+def near_dup_text_pairs(s, d):
+    docs = _docs(s, d).select("doc_id", "text", F.md5(F.substring("text", 1, 40)).alias("bucket"))
+    a, b = docs.select(F.col("doc_id").alias("a_id"), F.col("text").alias("a"), "bucket"), docs.select(F.col("doc_id").alias("b_id"), F.col("text").alias("b"), "bucket")
+    return a.join(b, "bucket").where("a_id < b_id").where(S.texts_too_similar(F.col("a"), F.col("b"))).select("a_id", "b_id")
+
+
+@query
+def disclaimer_filter(s, d):
+    return table(s, d, "conversations").where(T.is_disclaimer(F.col("text"))).select("conv_id", "turn")
+
+
+@query
+def clean_question(s, d):
+    return table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.clean_question(F.col("text")).alias("question"))
+
+
+@query
+def candidate_select(s, d):
+    p = _pairs(s, d)
+    some = F.array(F.col("answer"), F.substring_index("answer", ".", 2), F.col("question"))
+    return p.select("pos", G.selected_answer(F.col("question"), some, F.coalesce("context", F.lit(""))).alias("answer"))
+
+
+@query
+def redundancy_elimination(s, d):
+    t = table(s, d, "conversations").select("conv_id", F.col("turn").alias("pos"), "text", (F.lit(1.0) / (F.col("turn") + 1)).alias("score"))
+    return Q.without_redundant(t, "conv_id")
+
+
+@query
+def stream_ingest_dedupe(s, d):
+    conf = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not conf:
+        import tempfile
+
+        conf = tempfile.mkdtemp(prefix="pagewright-stream-")
+    return distinct_events(s, f"{d}/events.parquet", "user_id", conf)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark texts as questions against all documents."""
+    return text_search_topk(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.ORACLES.items() if k in QUERIES}
