@@ -197,8 +197,9 @@ SELECT doc_id, phrase, score, rank FROM (SELECT *, row_number() OVER (PARTITION
 SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM conversations) AS chunks, (SELECT count(*) FROM embeddings) AS indexed, (SELECT max(len(embedding)) FROM embeddings) AS dimension,
   (SELECT count(DISTINCT term) FROM (SELECT unnest({words('lower(text)')}) AS term FROM documents) WHERE length(term) > 3) AS terms""",
     "text_search_topk": f"""
-WITH b AS (SELECT item_id, terms, list_distinct({_RUNS}) AS phrases FROM (SELECT item_id, list_distinct_ordered AS terms FROM (SELECT item_id, list_reduce_terms AS list_distinct_ordered FROM (
-    SELECT item_id, list_transform(list_sort(list_transform(list_distinct(w), lambda x: {{'p': list_position(w, x), 'x': x}})), lambda s: s.x) AS list_reduce_terms FROM (SELECT item_id, {words('lower(text)')} AS w FROM benchmark)))),
+WITH w AS (SELECT item_id, {words('lower(text)')} AS w FROM benchmark),
+o AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS terms FROM w),
+b AS (SELECT item_id, terms, list_distinct({_RUNS}) AS phrases FROM o),
 d AS (SELECT doc_id, source, lower(text) AS low FROM documents),
 m AS (SELECT item_id, doc_id, matches, len(list_filter(phrases, lambda p: contains(low, p))) AS phrases FROM ({_MATCH}) WHERE matches > 0)
 SELECT item_id, doc_id, matches, phrases, score, rank FROM (SELECT *, matches + 2 * phrases AS score, row_number() OVER (PARTITION BY item_id ORDER BY matches + 2 * phrases DESC, doc_id) AS rank FROM m) WHERE rank <= 5""",
@@ -214,7 +215,7 @@ s AS (SELECT query_id, vec_id, round(score + 0.05::DOUBLE * len(list_filter(term
 SELECT query_id, vec_id, score, first_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_rank) AS rank FROM s""",
     "rerank_blend": f"""
 SELECT query_id, vec_id, score, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, vec_id) AS rank FROM (
-  SELECT query_id, vec_id, score, round(0.3::DOUBLE * score + 0.7::DOUBLE * (((vec_id * 7 + query_id * 13) % 100)::DOUBLE / 100), 6) AS final_score FROM ({topk(_HITS, 20)}))""",
+  SELECT query_id, vec_id, score, round(0.3::DOUBLE * score + 0.7::DOUBLE * (((vec_id * 7 + query_id * 13) % 100)::DOUBLE / 100), 5) AS final_score FROM ({topk(_HITS, 20)}))""",
     "diverse_select": f"""
 WITH h AS (SELECT t.*, d.source AS url, d.source = q.source AS is_source FROM ({topk(_HITS, 30)}) t JOIN documents d ON d.doc_id = t.vec_id JOIN documents q ON q.doc_id = t.query_id),
 a AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, first(url) OVER (PARTITION BY query_id ORDER BY rank) AS best_url, min(CASE WHEN is_source AND rank > 1 THEN rank END) OVER (PARTITION BY query_id) AS own FROM h),
