@@ -52,8 +52,11 @@ def dot(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct items; 0 when both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
+
+    def of(x, y, both):
+        return F.coalesce(F.try_divide(both, F.size(x) + F.size(y) - both), F.lit(0.0))
+
+    return T.let(a, lambda x: T.let(b, lambda y: T.let(F.size(F.array_intersect(x, y)), lambda both: of(x, y, both))))
 
 
 def questions_similar(a: Column, b: Column) -> Column:
@@ -81,15 +84,18 @@ def question_terms(q: Column) -> Column:
 
 def relevance(q: Column, a: Column) -> Column:
     """Share of the question's terms that the answer has."""
-    terms = question_terms(q)
-    return F.least(F.lit(1.0), T.matching_terms(terms, F.lower(a)) / F.greatest(F.lit(1), F.size(terms)))
+    return T.let(question_terms(q), lambda terms: F.least(F.lit(1.0), T.matching_terms(terms, F.lower(a)) / F.greatest(F.lit(1), F.size(terms))))
 
 
 def factuality(a: Column, context: Column) -> Column:
     """By the answer's pairs of words that the context has; 0.5 without context."""
-    mine, theirs = T.ngrams(T.words(F.lower(a)), 2), T.ngrams(T.words(F.lower(context)), 2)
-    share = F.try_divide(F.size(F.array_intersect(mine, theirs)), F.size(mine))
-    return F.when(context.isNull(), 0.5).when(F.size(mine) == 0, 0.0).otherwise(F.lit(0.2) + F.lit(0.8) * share)
+    theirs = T.ngrams(T.words(F.lower(context)), 2)
+
+    def of(mine):
+        share = F.try_divide(F.size(F.array_intersect(mine, theirs)), F.size(mine))
+        return F.when(F.size(mine) == 0, 0.0).otherwise(F.lit(0.2) + F.lit(0.8) * share)
+
+    return F.when(context.isNull(), 0.5).otherwise(T.let(T.ngrams(T.words(F.lower(a)), 2), of))
 
 
 _UNENDED = r"[.!?]\z"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from . import lists as L
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, also where lambdas use it many times."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def replaced(c: Column, *steps: tuple[str, str]) -> Column:
     """A chain of global regular-expression replacements."""
     return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c)
@@ -33,8 +39,12 @@ def n_words(c: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct runs of n tokens, joined by spaces."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def of(t):
+        runs = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)]))
+        return F.when(F.size(t) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, of)
 
 
 def any_of(c: Column, values: list[str]) -> Column:
@@ -49,7 +59,7 @@ def count_of(c: Column, values: list[str]) -> Column:
 
 def matching_terms(terms: Column, text: Column) -> Column:
     """How many of an array's terms are parts of the text."""
-    return F.size(F.filter(terms, lambda t: F.contains(text, t))).cast("long")
+    return let(text, lambda x: F.size(F.filter(terms, lambda t: F.contains(x, t)))).cast("long")
 
 
 # --- cleaning -----------------------------------------------------------------
@@ -88,12 +98,14 @@ def fix_structure(c: Column) -> Column:
     c = strip(F.regexp_replace(c, r"^(Answer:|ANSWER:|Step \d+:|To answer this question:)", ""))
     for start in ("Based on", "According to"):
         c = strip(F.regexp_replace(c, start + r" the (provided|given|available) (context|information),?\s*", ""))
-    w = words(c)
-    low = F.transform(w, lambda x: F.lower(x))
-    first = F.slice(low, 1, 5)
-    again = F.filter(F.sequence(F.lit(1), F.least(F.lit(10), F.size(w) - 5) - 1), lambda i: F.slice(low, i + 1, 5) == first)
-    cut = F.array_join(F.slice(w, F.get(again, F.lit(0)) + 1, F.greatest(F.size(w), F.lit(1))), " ")
-    return F.when((F.size(w) > 10) & (F.size(F.when(F.size(w) > 10, again)) > 0), cut).otherwise(c)
+
+    def unrepeated(w):
+        low = F.transform(w, lambda x: F.lower(x))
+        first = F.slice(low, 1, 5)
+        again = F.filter(F.sequence(F.lit(1), F.least(F.lit(10), F.size(w) - 5) - 1), lambda i: F.slice(low, i + 1, 5) == first)
+        return F.when(F.size(w) > 10, F.when(F.size(again) > 0, F.array_join(F.slice(w, F.get(again, F.lit(0)) + 1, F.size(w)), " ")))
+
+    return F.coalesce(let(words(c), unrepeated), c)
 
 
 def clean_artifacts(c: Column) -> Column:
@@ -168,14 +180,22 @@ def sentences(c: Column) -> Column:
 
 def groups_of(items: Column, n: int) -> Column:
     """Runs of n items, joined by spaces; the last may be shorter."""
-    at = F.sequence(F.lit(1), F.size(items), F.lit(n))
-    return F.when(F.size(items) > 0, F.transform(at, lambda i: F.array_join(F.slice(items, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(x):
+        at = F.sequence(F.lit(1), F.size(x), F.lit(n))
+        return F.when(F.size(x) > 0, F.transform(at, lambda i: F.array_join(F.slice(x, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(items, of)
 
 
 def windows_of(items: Column, size: int = 10, stride: int = 8, least: int = 3) -> Column:
     """Sliding windows of items, joined by spaces, while they hold enough."""
-    at = F.filter(F.sequence(F.lit(1), F.size(items), F.lit(stride)), lambda i: F.size(items) - i + 1 >= least)
-    return F.when(F.size(items) > 0, F.transform(at, lambda i: F.array_join(F.slice(items, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(x):
+        at = F.filter(F.sequence(F.lit(1), F.size(x), F.lit(stride)), lambda i: F.size(x) - i + 1 >= least)
+        return F.when(F.size(x) > 0, F.transform(at, lambda i: F.array_join(F.slice(x, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(items, of)
 
 
 # --- URLs ----------------------------------------------------------------------

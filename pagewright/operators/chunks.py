@@ -54,8 +54,7 @@ def chunks_of(c: Column, by_header: bool = False, fixed_overlap: bool = False) -
     base = F.when(F.contains(c, F.lit("#")), sections(c, by_header)).otherwise(pack(paragraphs(c), fixed_overlap=fixed_overlap))
 
     def split(x, i):
-        s = T.sentences(x)
-        parts = F.when(F.size(s) > 0, T.windows_of(s)).otherwise(character_windows(x))
+        parts = T.let(T.sentences(x), lambda s: F.when(F.size(s) > 0, T.windows_of(s)).otherwise(character_windows(x)))
         many = F.transform(parts, lambda t, k: F.struct((i * 100 + k).cast("int").alias("idx"), t.alias("text")))
         return F.when(F.length(x) > MAX_CHUNK, many).otherwise(F.array(F.struct(i.cast("int").alias("idx"), x.alias("text"))))
 

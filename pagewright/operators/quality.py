@@ -14,7 +14,7 @@ from ..functions import text as T
 def evaluated(pairs: DataFrame, context: str = "context", n_context: str = "n_context") -> DataFrame:
     """Pairs with all scores, rounded to six digits."""
     s = S.evaluation(F.col("question"), F.col("answer"), F.col(context), F.col(n_context))
-    out = pairs.withColumn("_s", s)
+    out = pairs.withColumn("_s", T.let(s, lambda x: x))
     return out.select(*pairs.columns, *[F.round(F.col(f"_s.{k}"), 6).alias(k) for k in ("relevance", "factuality", "completeness", "formatting", "overall")])
 
 
