@@ -113,3 +113,39 @@ def answered(hits: DataFrame, answer: str | None = None) -> DataFrame:
     if answer is None:
         return hits.withColumn("answer", F.lit(L.NO_ANSWER))
     return hits.withColumn("answer", T.format_answer(F.col(answer)))
+
+
+def near_duplicate_texts(docs: DataFrame, id_col: str, text_col: str, head: int = 40, like: float = 0.8) -> DataFrame:
+    """Links (a_id, b_id) of texts with the same first ``head`` characters that
+    are too similar: one inside the other if either has fewer than 100
+    characters, else by their distinct runs of three words.
+
+    Equal texts are a class, linked to their least id only; different texts are
+    compared by that id. Long ones meet over the first of their hashed runs in one
+    order, of which two texts beyond ``like`` share one. Null texts link with nothing."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.sha2(text_col, 256).alias("digest"))
+    least = rows.groupBy("digest").agg(F.min("id").alias("rep"))
+    some_run = (F.length("text") < 100) | (T.n_words(F.col("text")) >= 3)
+    copies = rows.where(some_run).select("id", "digest").join(least, "digest").where("id <> rep").select(F.col("rep").alias("a_id"), F.col("id").alias("b_id"))
+
+    def runs(t):
+        hashed = F.transform(F.sequence(F.lit(0), F.size(t) - 3), lambda i: F.xxhash64(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2)))
+        return F.when(F.size(t) >= 3, F.array_sort(F.array_distinct(hashed))).otherwise(F.array().cast("array<bigint>"))
+
+    reps = rows.join(least.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "text", F.md5(F.substring("text", 1, head)).alias("bucket"))
+    long = reps.where(F.length("text") >= 100).select("id", "bucket", T.let(T.words(F.col("text")), runs).alias("g"))
+    n = F.size("g")
+    keys = long.select("id", "bucket", n.alias("n"), F.explode(F.slice("g", 1, n - F.floor(n * like).cast("int"))).alias("key"))
+    a, b = (keys.select(F.col("id").alias(f"{k}_id"), F.col("n").alias(f"{k}_n"), "bucket", "key") for k in "ab")
+    near_size = F.least("a_n", "b_n") > F.greatest("a_n", "b_n") * like
+    maybe = a.join(b, ["bucket", "key"]).where((F.col("a_id") < F.col("b_id")) & near_size).select("a_id", "b_id").distinct()
+    for k in "ab":
+        maybe = maybe.join(long.select(F.col("id").alias(f"{k}_id"), F.col("g").alias(f"{k}_g")), f"{k}_id")
+    both = F.size(F.array_intersect("a_g", "b_g"))
+    alike = maybe.withColumn("both", both).where(F.col("both") / (F.size("a_g") + F.size("b_g") - F.col("both")) > like).select("a_id", "b_id")
+
+    # shorter than the head, texts with the same head are equal
+    short = reps.where((F.length("text") >= head) & (F.length("text") < 100)).select(F.col("id").alias("s_id"), F.col("text").alias("s"), "bucket")
+    met = reps.join(short, "bucket").where((F.col("id") != F.col("s_id")) & (F.contains("text", "s") | F.contains("s", "text")))
+    held = met.select(F.least("id", "s_id").alias("a_id"), F.greatest("id", "s_id").alias("b_id")).distinct()
+    return copies.unionByName(alike).unionByName(held)

@@ -241,8 +241,11 @@ SELECT pos, overall FROM o WHERE (SELECT count(*) FROM o) >= 3 UNION ALL SELECT
     "topic_coverage_top10": "SELECT lower(source) AS topic, count(*) AS n FROM documents WHERE lower(source) NOT IN ('', 'general') GROUP BY 1 ORDER BY n DESC, topic LIMIT 10",
     "url_coverage": f"SELECT {HOST} AS url, count(*) AS n FROM pages GROUP BY 1",
     "near_dup_text_pairs": f"""
-WITH d AS (SELECT doc_id, text, md5(substring(text, 1, 40)) AS bucket, {ngrams(words('text'), 3)} AS g FROM documents)
-SELECT a.doc_id AS a_id, b.doc_id AS b_id FROM d a JOIN d b ON a.bucket = b.bucket AND a.doc_id < b.doc_id
+WITH w AS MATERIALIZED (SELECT doc_id, text, {words('text')} AS w FROM documents WHERE text IS NOT NULL),
+d AS MATERIALIZED (SELECT doc_id, text, md5(substring(text, 1, 40)) AS bucket, {ngrams('w', 3)} AS g, min(doc_id) OVER (PARTITION BY text) AS rep FROM w),
+r AS (SELECT * FROM d WHERE doc_id = rep)
+SELECT rep AS a_id, doc_id AS b_id FROM d WHERE doc_id <> rep AND (length(text) < 100 OR len(g) > 0)
+UNION ALL SELECT a.doc_id, b.doc_id FROM r a JOIN r b ON a.bucket = b.bucket AND a.doc_id < b.doc_id
 WHERE CASE WHEN length(a.text) < 100 OR length(b.text) < 100 THEN contains(a.text, b.text) OR contains(b.text, a.text) ELSE {jaccard('a.g', 'b.g')} > 0.8 END""",
     "disclaimer_filter": f"SELECT conv_id, turn FROM conversations WHERE {' OR '.join(f'regexp_matches({strip(chr(116) + chr(101) + chr(120) + chr(116))}, {_q(p)})' for p in L.DISCLAIMERS)} OR (len({words('text')}) < 20 AND contains(lower(text), 'don''t have'))",
     "clean_question": rf"SELECT conv_id, turn, CASE WHEN q <> '' AND NOT ends_with(q, '?') THEN q || '?' ELSE q END AS question FROM (SELECT conv_id, turn, upper(left(t, 1)) || substring(t, 2) AS q FROM (SELECT conv_id, turn, {strip(r'''regexp_replace(text, '^(Question:|Q:|Step \d+:)', '')''')} AS t FROM conversations WHERE role = 'user'))",

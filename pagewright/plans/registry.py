@@ -304,12 +304,7 @@ def url_coverage(s, d):
 
 @query
 def near_dup_text_pairs(s, d):
-    # three-word runs are made once a document, before the join
-    docs = _docs(s, d).select("doc_id", "text", F.md5(F.substring("text", 1, 40)).alias("bucket"), T.ngrams(T.words(F.col("text")), 3).alias("g"))
-    a, b = (docs.select(F.col("doc_id").alias(f"{k}_id"), F.col("text").alias(k), F.col("g").alias(f"{k}_g"), "bucket") for k in "ab")
-    short = (F.length("a") < 100) | (F.length("b") < 100)
-    like = F.when(short, F.contains("a", "b") | F.contains("b", "a")).otherwise(S.jaccard(F.col("a_g"), F.col("b_g")) > 0.8)
-    return a.join(b, "bucket").where("a_id < b_id").where(like).select("a_id", "b_id")
+    return Q.near_duplicate_texts(_docs(s, d), "doc_id", "text")
 
 
 @query

@@ -7,6 +7,7 @@ from pagewright.functions import scores as S
 from pagewright.functions import text as T
 from pagewright.operators import chunks as C
 from pagewright.operators import pages as P
+from pagewright.operators import quality as Q
 from pagewright.operators import questions as G
 from pagewright.plans import oracles, registry
 from pagewright.sources import io
@@ -86,6 +87,32 @@ def test_greedy_repeats(spark):
     assert sorted(r.kept_pos for r in G.without_repeats(df, "g").collect()) == [1, 2]
 
 
+def test_near_duplicate_texts_against_brute_force(spark):
+    head = "the same first forty characters of a text "
+    many = [f"w{i}" for i in range(60)]
+    docs = [(0, head + " ".join(many)), (1, head + " ".join(many)), (2, head + " ".join(many[:-3] + ["x", "y", "z"])), (3, head + " ".join(many[::-1])), (4, head + "short"), (5, head + "short one"), (6, "a" * 120), (7, "a" * 120), (8, "tiny"), (9, "tiny"), (10, ""), (11, None), (12, head + "short" + " ".join(many))]
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+
+    def like(a, b):
+        if a is None or b is None or a[:40] != b[:40]:
+            return False
+        if min(len(a), len(b)) < 100:
+            return a in b or b in a
+        x, y = grams(a), grams(b)
+        return bool(x | y) and len(x & y) / len(x | y) > 0.8
+
+    least = {t: i for i, t in reversed(docs)}
+    want = sorted((least[t], i) for i, t in docs if t is not None and least[t] != i and like(t, t))
+    reps = [(i, t) for i, t in docs if t is not None and least[t] == i]
+    want = sorted(want + [(i, j) for i, a in reps for j, b in reps if i < j and like(a, b)])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in Q.near_duplicate_texts(df, "doc_id", "text").collect()) == want and len(want) > 4
+    assert Q.near_duplicate_texts(df.limit(0), "doc_id", "text").count() == 0
+
+
 def test_csv_quotes(spark):
     df = spark.createDataFrame([('a "b"', "x\ny", "u", "t", "T", (0.1, 0.2, 0.3, 0.4, 0.5))], io.PAIR)
     assert io.csv_lines(df).first().value == '"a ""b""","x\ny","u","t","T",0.5'
