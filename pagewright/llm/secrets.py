@@ -167,17 +167,13 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str) -> Da
     # the start of match i: all gaps up to i and all matches before it
     lengths = F.transform("_gaps", lambda g, i: F.length(g) + F.when(i == 0, 0).otherwise(F.length(F.get(F.col("_found"), i - 1))))
     starts = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(n + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
-    hit = hit.withColumn("_starts", starts).select(id_col, "_t", "path", F.posexplode("_found").alias("_i", "candidate"), "_starts")
-    hit = hit.withColumn("start", F.get("_starts", F.col("_i")))
-    first = F.greatest(F.col("start") - BEFORE, F.lit(0))
-    return hit.select(
-        id_col,
-        F.col("start").cast("long").alias("start"),
-        "candidate",
-        F.substring(F.col("_t"), first + 1, F.col("start") - first).alias("before"),
-        F.substring(F.col("_t"), F.col("start") + F.length("candidate") + 1, F.lit(AFTER)).alias("after"),
-        F.coalesce("path", F.lit("")).alias("path"),
-    )
+    part = lambda array, i: F.coalesce(F.get(array, i), F.lit(""))
+    # a candidate has 16 characters or more, so three before it and two after it cover its neighbourhood
+    before = lambda i: F.concat(part("_found", i - 3), part("_gaps", i - 2), part("_found", i - 2), part("_gaps", i - 1), part("_found", i - 1), part("_gaps", i))
+    after = lambda i: F.concat(part("_gaps", i + 1), part("_found", i + 1), part("_gaps", i + 2), part("_found", i + 2))
+    item = lambda start, i: F.struct(start.cast("long").alias("start"), F.get("_found", i).alias("candidate"), F.right(before(i), F.lit(BEFORE)).alias("before"), F.left(after(i), F.lit(AFTER)).alias("after"))
+    hit = hit.select(id_col, "path", F.explode(F.transform(F.slice(starts, 1, F.size("_found")), item)).alias("_c"))
+    return hit.select(id_col, "_c.*", F.coalesce("path", F.lit("")).alias("path"))
 
 
 def scan(docs: DataFrame, forest: list | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -81,3 +82,11 @@ def test_secrets(spark):
     assert set(got) == {1, 2} and got[1].is_secret and not got[2].is_secret
     assert texts[0][1][got[1].start : got[1].start + got[1].length] == "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_candidates_against_brute_force(spark):
+    word = "abcdefgh12345678"
+    texts = [f"key={word} {word}={word}== {word},{word}x é " * 5, word, f"{word}=={word}", "none here", f"漢 {word} " + "y" * 60 + f" {word}" * 4]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    want = [(i, m.start(), m[0], t[max(m.start() - secrets.BEFORE, 0) : m.start()], t[m.end() : m.end() + secrets.AFTER], "") for i, t in enumerate(texts) for m in re.finditer(secrets.CANDIDATE, t)]
+    assert sorted(map(tuple, secrets.candidates(df, "doc_id", "text", "source").collect())) == sorted(want)
