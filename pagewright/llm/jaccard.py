@@ -310,13 +310,13 @@ def near_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list
 
 
 def _join_regions(open_: DataFrame, sketches: DataFrame, starts: list[int], whole: bool, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) of the size windows of open regions; windows larger
+    """Candidate pairs (a, b) of the size windows of open regions, those larger
     than ``WHOLE_REGION`` only if ``whole``, in blocks against blocks."""
     cls = sum((F.when(F.col("n") >= v, 1).otherwise(0) for v in starts), F.lit(0))
     windows = open_.withColumn("c", cls).withColumn("w", F.explode(F.array(F.col("c"), F.col("c") + 1)))
     size = windows.groupBy("region", "w").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    size = size.where(F.col("m") > WHOLE_REGION) if whole else size.where(F.col("m") <= WHOLE_REGION)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int") if whole else F.lit(1)
+    size = size if whole else size.where(F.col("m") <= WHOLE_REGION)
+    blocks = F.when(F.col("m") > WHOLE_REGION, F.ceil(F.col("m") / BLOCK).cast("int")).otherwise(1)
     told = windows.join(size.select("region", "w", blocks.alias("blocks")), ["region", "w"]).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     # a block meets itself and every other: (lesser, greater)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -401,7 +401,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = new if links is None else links.union(new)
         roots = components(links, scratch, f"cc{round_}")
         labels = scratch.put(wanted.select(F.col("digest").alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), f"labels-{round_}")
-        if round_ >= PIVOT_ROUNDS:  # all regions have been joined whole
+        if round_ >= PIVOT_ROUNDS:  # all windows, small ones too, have been joined
             break
         if round_ == CELL_ROUNDS - 1:
             # regions around one pivot hold much the same members: as one, each pair meets once

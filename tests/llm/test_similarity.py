@@ -41,6 +41,23 @@ def test_jaccard_join_is_exact(spark):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_last_round_joins_windows_of_every_size(spark, monkeypatch):
+    # pairs that meet over one shingle only: 12 members, 8 are left in the last round
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common = min((" ".join(word() for _ in range(5)) for _ in range(3000)), key=lambda x: int(jaccard.shingle_set(x)[0]))
+    texts = [f"{word()} {common} {word()}" for _ in range(6)]
+    docs = list(enumerate(texts + [f"{t} {word()}" for t in texts]))
+    least = jaccard.shingle_set(common)[0]
+    assert all(jaccard.shingle_set(t)[0] == least for _, t in docs)
+    monkeypatch.setattr(jaccard, "WHOLE_REGION", 9)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "HEAVY", 1000)
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == brute(docs) and len({c for _, c in got.values()}) == 6
+
+
 def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(50):
