@@ -216,7 +216,7 @@ def context_merge(s, d):
 
 @query
 def topic_type(s, d):
-    return _docs(s, d).select("doc_id", S.topic_type(F.substring("text", 1, 60), L.FIXTURE_TYPES).alias("topic_type"))
+    return _docs(s, d).select("doc_id", S.topic_type(F.col("text"), L.FIXTURE_TYPES).alias("topic_type"))
 
 
 @query

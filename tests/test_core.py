@@ -36,6 +36,12 @@ def test_topic_types(spark):
         assert one(spark, S.topic_type, t=topic) == want
 
 
+def test_topic_type_reads_whole_texts(spark, tmp_path):
+    rows = [(1, "x " * 50 + "zut"), (2, "x " * 50), (3, "thing " + "x " * 50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.topic_type for r in registry.QUERIES["topic_type"](spark, str(tmp_path)).collect()} == {1: "LOCATION", 2: "GENERAL", 3: "SERVICE"}
+
+
 def test_sentences_and_windows(spark):
     assert one(spark, T.sentences, t="Dr. Smith left. He ran") == ["Dr. Smith left.", "He ran."]
     for n, want in ((2, 0), (3, 1), (10, 1), (11, 2)):
