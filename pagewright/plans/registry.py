@@ -193,7 +193,7 @@ def vector_topk(s, d):
 
 @query
 def hybrid_topk_boost(s, d):
-    h = _with_texts(s, d, _hits(s, d, 20)).withColumn("terms", F.array_distinct(F.slice(T.words(F.lower("q_text")), 1, 8)))
+    h = _with_texts(s, d, _hits(s, d, 20)).withColumn("terms", F.array_distinct(T.words(F.lower("q_text"))))
     return R.term_boost(h, F.col("terms"), F.lower("text"), "query_id").select("query_id", "vec_id", "score", "first_rank", "rank")
 
 

@@ -42,6 +42,15 @@ def test_topic_type_reads_whole_texts(spark, tmp_path):
     assert {r.doc_id: r.topic_type for r in registry.QUERIES["topic_type"](spark, str(tmp_path)).collect()} == {1: "LOCATION", 2: "GENERAL", 3: "SERVICE"}
 
 
+def test_hybrid_boost_counts_all_terms(spark, tmp_path):
+    spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    asked = "aa bb cc dd ee ff gg hh ninth tenth Ninth"
+    docs = [(50, asked, "s"), (1, "aa", "s"), (2, "NINTH tenth", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["hybrid_topk_boost"](spark, str(tmp_path)).where("query_id = 50").collect()
+    assert {r.vec_id: (r.score, r.rank) for r in got} == {2: (1.1, 1), 1: (1.05, 2)}
+
+
 def test_sentences_and_windows(spark):
     assert one(spark, T.sentences, t="Dr. Smith left. He ran") == ["Dr. Smith left.", "He ran."]
     for n, want in ((2, 0), (3, 1), (10, 1), (11, 2)):
