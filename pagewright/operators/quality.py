@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import lists as L
 from ..functions import scores as S
 from ..functions import text as T
+from .retrieve import token_hits
 
 
 def evaluated(pairs: DataFrame, context: str = "context", n_context: str = "n_context") -> DataFrame:
@@ -115,14 +116,16 @@ def answered(hits: DataFrame, answer: str | None = None) -> DataFrame:
     return hits.withColumn("answer", T.format_answer(F.col(answer)))
 
 
-def near_duplicate_texts(docs: DataFrame, id_col: str, text_col: str, head: int = 40, like: float = 0.8) -> DataFrame:
-    """Links (a_id, b_id) of texts with the same first ``head`` characters that
-    are too similar: one inside the other if either has fewer than 100
-    characters, else by their distinct runs of three words.
+def near_duplicate_texts(docs: DataFrame, id_col: str, text_col: str, head: int | None = 40, like: float = 0.8) -> DataFrame:
+    """Links (a_id, b_id) of texts that are too similar: one inside the other if
+    either has fewer than 100 characters, else by their distinct runs of three
+    words. With ``head``, only of texts with the same first ``head`` characters.
 
     Equal texts are a class, linked to their least id only; different texts are
     compared by that id. Long ones meet over the first of their hashed runs in one
-    order, of which two texts beyond ``like`` share one. Null texts link with nothing."""
+    order, rare ones first, of which two texts beyond ``like`` share one. A short
+    text can only lie in texts with a token that holds its longest word; one
+    without words meets all. Null texts link with nothing."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.sha2(text_col, 256).alias("digest"))
     least = rows.groupBy("digest").agg(F.min("id").alias("rep"))
     some_run = (F.length("text") < 100) | (T.n_words(F.col("text")) >= 3)
@@ -132,10 +135,14 @@ def near_duplicate_texts(docs: DataFrame, id_col: str, text_col: str, head: int
         hashed = F.transform(F.sequence(F.lit(0), F.size(t) - 3), lambda i: F.xxhash64(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2)))
         return F.when(F.size(t) >= 3, F.array_sort(F.array_distinct(hashed))).otherwise(F.array().cast("array<bigint>"))
 
-    reps = rows.join(least.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "text", F.md5(F.substring("text", 1, head)).alias("bucket"))
+    bucket = F.md5(F.substring("text", 1, head)) if head else F.lit("")
+    reps = rows.join(least.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "text", bucket.alias("bucket"))
     long = reps.where(F.length("text") >= 100).select("id", "bucket", T.let(T.words(F.col("text")), runs).alias("g"))
-    n = F.size("g")
-    keys = long.select("id", "bucket", n.alias("n"), F.explode(F.slice("g", 1, n - F.floor(n * like).cast("int"))).alias("key"))
+    every = long.select("id", "bucket", F.size("g").alias("n"), F.explode("g").alias("key"))
+    times = every.groupBy("key").agg(F.count("*").alias("times"))
+    ordered = every.join(times, "key").groupBy("id", "bucket", "n").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("o"))
+    first = F.slice("o", 1, F.col("n") - F.floor(F.col("n") * like).cast("int"))
+    keys = ordered.select("id", "bucket", "n", F.explode(first).alias("k")).where("k.times > 1").select("id", "bucket", "n", "k.key")
     a, b = (keys.select(F.col("id").alias(f"{k}_id"), F.col("n").alias(f"{k}_n"), "bucket", "key") for k in "ab")
     near_size = F.least("a_n", "b_n") > F.greatest("a_n", "b_n") * like
     maybe = a.join(b, ["bucket", "key"]).where((F.col("a_id") < F.col("b_id")) & near_size).select("a_id", "b_id").distinct()
@@ -144,8 +151,12 @@ def near_duplicate_texts(docs: DataFrame, id_col: str, text_col: str, head: int
     both = F.size(F.array_intersect("a_g", "b_g"))
     alike = maybe.withColumn("both", both).where(F.col("both") / (F.size("a_g") + F.size("b_g") - F.col("both")) > like).select("a_id", "b_id")
 
-    # shorter than the head, texts with the same head are equal
-    short = reps.where((F.length("text") >= head) & (F.length("text") < 100)).select(F.col("id").alias("s_id"), F.col("text").alias("s"), "bucket")
-    met = reps.join(short, "bucket").where((F.col("id") != F.col("s_id")) & (F.contains("text", "s") | F.contains("s", "text")))
-    held = met.select(F.least("id", "s_id").alias("a_id"), F.greatest("id", "s_id").alias("b_id")).distinct()
+    longest = F.array_max(F.transform(T.words(F.col("text")), lambda w: F.struct(F.length(w), w.alias("term"))))["term"]
+    short = reps.where(F.length("text") < 100).select(F.col("id").alias("s_id"), F.col("text").alias("s"), F.col("bucket").alias("s_bucket"), longest.alias("term"))
+    posts = reps.select("id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("token"))
+    worded = short.where("term is not null")
+    met = token_hits(posts, "id", worded.select("term")).join(worded, "term").join(reps, "id")
+    met = met.unionByName(short.where("term is null").crossJoin(reps))
+    held = met.where((F.col("bucket") == F.col("s_bucket")) & (F.col("id") != F.col("s_id")) & F.contains("text", "s"))
+    held = held.select(F.least("id", "s_id").alias("a_id"), F.greatest("id", "s_id").alias("b_id")).distinct()
     return copies.unionByName(alike).unionByName(held)

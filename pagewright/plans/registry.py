@@ -304,7 +304,7 @@ def url_coverage(s, d):
 
 @query
 def near_dup_text_pairs(s, d):
-    return Q.near_duplicate_texts(_docs(s, d), "doc_id", "text")
+    return Q.near_duplicate_texts(_docs(s, d), "doc_id", "text", head=None)
 
 
 @query

@@ -128,6 +128,24 @@ def test_near_duplicate_texts_against_brute_force(spark):
     assert Q.near_duplicate_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_near_dup_text_pairs_compares_texts_with_any_head(spark, tmp_path):
+    many = [f"word{i}" for i in range(60)]
+    body = " ".join(many)
+    texts = [body, "another title " + body, "edited " + " ".join(many[1:]), "word5 word6", "ord59", "ORD59", "", "  ", "x" * 130, "y" + "x" * 130, body[::-1], "x" * 20, " ".join(many[20:]), "tiny", None, body, "d6 w"]
+
+    def like(a, b):
+        if min(len(a), len(b)) < 100:
+            return a in b or b in a
+        x, y = ({tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (a.split(), b.split()))
+        return bool(x and y) and len(x & y) / len(x | y) > 0.8
+
+    reps = [(i, t) for i, t in enumerate(texts) if t is not None and texts.index(t) == i]
+    want = [(i, j) for i, a in reps for j, b in reps if i < j and like(a, b)] + [(0, 15)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in registry.QUERIES["near_dup_text_pairs"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {(0, 1), (0, 2), (0, 3), (0, 4)} <= set(got)
+
+
 def test_csv_quotes(spark):
     df = spark.createDataFrame([('a "b"', "x\ny", "u", "t", "T", (0.1, 0.2, 0.3, 0.4, 0.5))], io.PAIR)
     assert io.csv_lines(df).first().value == '"a ""b""","x\ny","u","t","T",0.5'
