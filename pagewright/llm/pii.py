@@ -167,23 +167,26 @@ _SPELLED = {
 _WORD_DIGIT = {w: str(d) for line in _SPELLED.values() for d, w in enumerate(line.split())} | {"oh": "0"}
 _DOT_WORDS = {"dot", "punkt", "point", "punto"}
 _UNIT = r"(?:" + "|".join(sorted([*_WORD_DIGIT, *_DOT_WORDS, "plus"], key=len, reverse=True)) + r")"
-#: Two spelled digits in a row, in lower-case text after a space.
-_SOME_SPELLED = re.compile(r"\s(?:%s)[\s,.()-]{1,3}(?:%s)\b" % (("|".join(sorted(_WORD_DIGIT, key=len, reverse=True)),) * 2))
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_UNIT}|[0-9]+|\+|\.)(?:[\s,()-]{{0,3}}(?<!\w)(?:{_UNIT}(?!\w)|[0-9]+|\+|\.)|[\s,()-]{{0,3}}(?<=[0-9])(?:[0-9]+|\.))+(?!\w)", re.I)
-_SPELLED_TOKEN = re.compile(rf"{_UNIT}(?!\w)|[0-9]+|\+|\.", re.I)
+_BRACKETED = r"[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]"
+_WORDS = "|".join(sorted([*_WORD_DIGIT, *_DOT_WORDS, "plus"], key=len, reverse=True))
+#: A spelled digit or disguised dot beside another part of a number, in lower-case text.
+_SOME_SPELLED = re.compile(rf"(?<!\w)(?:{_WORDS})(?!\w)[\s,.()-]{{0,3}}(?:(?:{_WORDS})(?!\w)|{_BRACKETED}|[0-9+.])|[0-9+][\s,.()-]{{0,3}}(?:(?<!\w)(?:{_WORDS})(?!\w)|{_BRACKETED})")
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_UNIT}|[0-9]+|\+|\.)(?:[\s,()-]{{0,3}}(?:{_BRACKETED}|(?<!\w)(?:{_UNIT}(?!\w)|[0-9]+|\+|\.))|[\s,()-]{{0,3}}(?<=[0-9])(?:[0-9]+|\.))+(?!\w)", re.I)
+_SPELLED_TOKEN = re.compile(rf"{_BRACKETED}|{_UNIT}(?!\w)|[0-9]+|\+|\.", re.I)
 
 
-def spelled(text: str) -> Mapped | None:
-    """Digits for spelled digits in runs with four or more of them."""
+def spelled(text: str, least: int = 4) -> Mapped | None:
+    """Digits for spelled digits in runs with ``least`` or more of them, spelled
+    plus signs and disguised dots (0: in all runs)."""
     edits: list[tuple[int, int, str]] = []
     for run in _SPELLED_RUN.finditer(text):
         tokens = list(_SPELLED_TOKEN.finditer(text, run.start(), run.end()))
-        if sum(t[0].lower() in _WORD_DIGIT for t in tokens) < 4:
+        if sum(t[0].lower() in _WORD_DIGIT for t in tokens) < least:
             continue
         last, was_word = run.start(), True
         for t in tokens:
             w = t[0].lower()
-            new = _WORD_DIGIT.get(w) or ("." if w in _DOT_WORDS else "+" if w == "plus" else None)
+            new = _WORD_DIGIT.get(w) or ("." if w in _DOT_WORDS or len(w) > 1 and w[0] in "[({<" else "+" if w == "plus" else None)
             if t.start() > last and (new is not None or was_word):  # what parts spelled digits goes
                 edits.append((last, t.start(), ""))
             if new is not None:
@@ -222,32 +225,40 @@ def disguised(text: str) -> Mapped | None:
     return Mapped(text, edits) if edits else None
 
 
-def deobfuscate(text: str) -> list[Mapped]:
-    """The transducers that changed something, in the order they ran."""
-    layers: list[Mapped] = []
+def deobfuscate(text: str) -> list[list[Mapped]]:
+    """The transducers that changed something, in the order they ran: once for
+    addresses, where a few spelled digits are words, and once with all runs of
+    numbers made plain."""
+    first: list[Mapped] = []
     if not text.isascii() and (m := homoglyphs(text)):
-        layers.append(m)
-    now = layers[-1].text if layers else text
-    if _SOME_SPELLED.search(f" {now.lower()}") and (m := spelled(now)):
-        layers.append(m)
-        now = m.text
+        first.append(m)
+    now = first[-1].text if first else text
+    chains, layers = [], list(first)
+    low = now.lower()
+    if _SOME_SPELLED.search(low):
+        if m := spelled(now, 0):
+            chains.append([*first, m])
+        if m := spelled(now):
+            layers.append(m)
+            now = m.text
     if _DISGUISE_HINT.search(f" {now.lower()}") and (m := disguised(now)):
         layers.append(m)
-    return layers
+    return [layers, *chains] if layers else chains
 
 
 def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:
-    """Base spans and those that only the normal form shows."""
+    """Base spans and those that only a normal form shows."""
     base = base_spans(text) if base is None else base
-    layers = deobfuscate(text)
-    if not layers:
+    chains = deobfuscate(text)
+    if not chains:
         return base
     out = set(base)
-    for start, end, kind in base_spans(layers[-1].text):
-        for layer in reversed(layers):
-            start, end = layer.back(start, end)
-        if not any(k == kind and s <= start and end <= e for s, e, k in base):
-            out.add((start, end, kind))
+    for layers in chains:
+        for start, end, kind in base_spans(layers[-1].text):
+            for layer in reversed(layers):
+                start, end = layer.back(start, end)
+            if not any(k == kind and s <= start and end <= e for s, e, k in out):
+                out.add((start, end, kind))
     return sorted(out, key=lambda s: (s[0], s[2], s[1]))
 
 

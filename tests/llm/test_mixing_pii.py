@@ -62,6 +62,26 @@ def test_spans(text, base, found):
     assert [text[s:e] for s, e, k in pii.all_spans(text) if (s, e, k) not in b] == found
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("call +1 555 one two three 4567 now", ["+1 555 one two three 4567"]),
+        ("call +1 555 123 456 seven now", ["+1 555 123 456 seven"]),
+        ("plus 1 555 123 4567 ok", ["plus 1 555 123 4567"]),
+        ("host 10 [dot] 0 [dot] 0 [dot] 7 up", ["10 [dot] 0 [dot] 0 [dot] 7"]),
+        ("host 10(dot)0(dot)0(dot)7 up", ["10(dot)0(dot)0(dot)7"]),
+        ("host 192 dot 168 dot 1 dot 20 up", ["192 dot 168 dot 1 dot 20"]),
+        ("host one ninety, 192[.]168[.]one[.]20 up", ["192[.]168[.]one[.]20"]),
+        ("host 192 dot 168 dot 1 dot 256 up", []),
+        ("bob1 [dot] 2 at site dot one dot com", ["bob1 [dot] 2 at site dot one dot com"]),
+        ("one or two of the 3 points, one dot", []),
+    ],
+)
+def test_mixed_disguises(text, found):
+    base = pii.base_spans(text)
+    assert [text[s:e] for s, e, k in pii.all_spans(text) if (s, e, k) not in base] == found
+
+
 def test_mask(spark):
     df = spark.createDataFrame([(1, "a b@c.de f", 10), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in pii.mask_pii(df).orderBy("doc_id").collect()] == [(1, "a [EMAIL] f", 11), (2, None, None), (3, "clean", 5)]
