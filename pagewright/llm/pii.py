@@ -9,7 +9,13 @@ stretch lies in its input, so that a span found in the normal form is carried
 back to the characters of the source. ``all_spans`` is base plus what only the
 normal form shows; base spans always stay.
 
+Every scanner takes one pass: no pattern can try the same characters in two
+ways, so time grows in proportion to the text, whatever is in it.
+
 Null text is empty and has no spans. Offsets count code points, ends exclusive.
+Rows are by themselves: repeated rows get equal results, null ids stay null, an
+empty table gives an empty one, other columns aren't read by ``find_pii`` and are
+carried along as they are by ``mask_pii``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +36,10 @@ Span = tuple[int, int, int]  # start, end, place in KINDS
 
 # --- base ---------------------------------------------------------------
 
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# a start inside a run of digits can't match where the run's start didn't, so no digit is tried twice
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -166,27 +173,40 @@ _SPELLED = {
 }
 _WORD_DIGIT = {w: str(d) for line in _SPELLED.values() for d, w in enumerate(line.split())} | {"oh": "0"}
 _DOT_WORDS = {"dot", "punkt", "point", "punto"}
-_UNIT = r"(?:" + "|".join(sorted([*_WORD_DIGIT, *_DOT_WORDS, "plus"], key=len, reverse=True)) + r")"
-_BRACKETED = r"[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]"
+_BRACKETED = r"[\[({<]\s*+(?:dot|punkt|point|punto|\.)\s*+[\])}>]"
 _WORDS = "|".join(sorted([*_WORD_DIGIT, *_DOT_WORDS, "plus"], key=len, reverse=True))
 #: A spelled digit or disguised dot beside another part of a number, in lower-case text.
 _SOME_SPELLED = re.compile(rf"(?<!\w)(?:{_WORDS})(?!\w)[\s,.()-]{{0,3}}(?:(?:{_WORDS})(?!\w)|{_BRACKETED}|[0-9+.])|[0-9+][\s,.()-]{{0,3}}(?:(?<!\w)(?:{_WORDS})(?!\w)|{_BRACKETED})")
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_UNIT}|[0-9]+|\+|\.)(?:[\s,()-]{{0,3}}(?:{_BRACKETED}|(?<!\w)(?:{_UNIT}(?!\w)|[0-9]+|\+|\.))|[\s,()-]{{0,3}}(?<=[0-9])(?:[0-9]+|\.))+(?!\w)", re.I)
-_SPELLED_TOKEN = re.compile(rf"{_BRACKETED}|{_UNIT}(?!\w)|[0-9]+|\+|\.", re.I)
+#: Parts of a number: words, digits that aren't part of a word, a plus sign, and a
+#: dot behind a digit or what isn't part of a word. No part can be cut in two ways.
+_PART = re.compile(rf"(?P<bracket>{_BRACKETED})|(?<!\w)(?:(?P<word>{_WORDS})(?!\w)|[0-9]++(?!\w)|\+|\.)|(?<=[0-9])\.", re.I)
+#: What may stand between two parts, at most three characters of it.
+_BETWEEN = re.compile(r"[\s,()-]{0,3}")
+
+
+def _runs(text: str) -> Iterator[list[re.Match]]:
+    """Runs of parts of numbers, in one pass."""
+    run: list[re.Match] = []
+    for part in _PART.finditer(text):
+        if run and not _BETWEEN.fullmatch(text, run[-1].end(), part.start()):
+            yield run
+            run = []
+        if run or part["bracket"] is None:  # a run doesn't begin with a bracket
+            run.append(part)
+    yield run
 
 
 def spelled(text: str, least: int = 4) -> Mapped | None:
     """Digits for spelled digits in runs with ``least`` or more of them, spelled
     plus signs and disguised dots (0: in all runs)."""
     edits: list[tuple[int, int, str]] = []
-    for run in _SPELLED_RUN.finditer(text):
-        tokens = list(_SPELLED_TOKEN.finditer(text, run.start(), run.end()))
-        if sum(t[0].lower() in _WORD_DIGIT for t in tokens) < least:
+    for run in _runs(text):
+        words = [(t["word"] or "").lower() for t in run]
+        if len(run) < 2 or sum(w in _WORD_DIGIT for w in words) < least or not (any(words) or any(t["bracket"] for t in run)):
             continue
-        last, was_word = run.start(), True
-        for t in tokens:
-            w = t[0].lower()
-            new = _WORD_DIGIT.get(w) or ("." if w in _DOT_WORDS or len(w) > 1 and w[0] in "[({<" else "+" if w == "plus" else None)
+        last, was_word = run[0].start(), True
+        for t, w in zip(run, words):
+            new = _WORD_DIGIT.get(w) or ("." if w in _DOT_WORDS or t["bracket"] else "+" if w == "plus" else None)
             if t.start() > last and (new is not None or was_word):  # what parts spelled digits goes
                 edits.append((last, t.start(), ""))
             if new is not None:
@@ -197,12 +217,61 @@ def spelled(text: str, least: int = 4) -> Mapped | None:
 
 # Ends of domain names that tell a bare "at" from a preposition.
 _ENDINGS = "com|org|net|edu|gov|info|biz|io|co|de|fr|es|uk|eu|example|test|invalid"
-_AT = r"(?:\s*[\[({<]\s*(?:at|ät|arroba|arobase|@)\s*[\])}>]\s*|\s+(?:at|ät|arroba|arobase)\s+|\s*@\s*)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+|\.)"
-_DISGUISE_HINT = re.compile(r"[\[({<]\s*(?:at|ät|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|\s(?:dot|punkt|punto|point)\s+[a-z]|\s(?:at|ät|arroba|arobase)\s+[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:%s)\b" % _ENDINGS)
-_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*?)({_AT})([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)", re.I)
-_ANY_DOT = re.compile(_DOT, re.I)
-_KNOWN_END = re.compile(rf"\.(?:{_ENDINGS})\Z", re.I)
+_AT_WORDS = {"at", "ät", "arroba", "arobase"}
+_DISGUISE_HINT = re.compile(r"[\[({<]\s*+(?:at|ät|arroba|arobase|@|dot|punkt|point|punto|\.)\s*+[\])}>]|\s(?:dot|punkt|punto|point)\s++[a-z]|\s(?:at|ät|arroba|arobase)\s++[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:%s)\b" % _ENDINGS)
+#: Parts of an address: bracketed signs, names, plain signs.
+_ADDRESS_PART = re.compile(r"(?P<bracket>[\[({<]\s*+(?P<said>at|ät|arroba|arobase|@|dot|punkt|point|punto|\.)\s*+[\])}>])|(?P<name>[A-Za-z0-9_%+-]+|(?<!\w)ät(?!\w))|(?P<sign>[@.])", re.I)
+_DOMAIN_NAME = re.compile(r"[A-Za-z0-9-]*")
+_KNOWN_END = re.compile(rf"(?:{_ENDINGS})\Z", re.I)
+
+
+class _Chain:
+    """Names of a text with the links between them: names[i] links[i] names[i + 1].
+    A link is (kind, start, end, whether it is a bare word); white space around it is its own."""
+
+    def __init__(self, first: tuple[int, int]):
+        self.names, self.links = [first], []
+
+
+def _chains(text: str) -> Iterator[_Chain]:
+    """The chains of names and links, in one pass over the parts of addresses.
+
+    A word for a sign is a link between two names that white space parts it
+    from; elsewhere it is a name. Signs and brackets link over white space, but
+    a plain dot touches both names."""
+    chain: _Chain | None = None
+    link: tuple[str, int, bool] | None = None  # kind, end, bare word
+    for m in _ADDRESS_PART.finditer(text):
+        start, end = m.span()
+        if m["name"] is None:
+            kind = "@" if (m["said"] or m["sign"]).lower() in _AT_WORDS or "@" in m[0] else "."
+            tight = m["sign"] == "."
+            gap = text[chain.names[-1][1] : start] if chain else "-"
+            if chain and link is None and (not gap or not tight and gap.isspace()):
+                link = (kind, end, False, tight)
+            else:
+                if chain:
+                    yield chain
+                chain = link = None
+            continue
+        if chain and link:
+            gap = text[link[1] : start]
+            if gap.isspace() and not link[3] or not gap and not link[2]:
+                chain.links.append((link[0], chain.names[-1][1], start, link[2]))
+                chain.names.append((start, end))
+                link = None
+                continue
+            yield chain
+            chain = link = None
+        elif chain:
+            word = m["name"].lower()
+            if text[chain.names[-1][1] : start].isspace() and (word in _AT_WORDS or word in _DOT_WORDS):
+                link = ("@" if word in _AT_WORDS else ".", end, True, False)
+                continue
+            yield chain
+        chain, link = _Chain((start, end)), None
+    if chain:
+        yield chain
 
 
 def disguised(text: str) -> Mapped | None:
@@ -211,17 +280,31 @@ def disguised(text: str) -> Mapped | None:
     A bare word for "at" counts only with a disguised dot in the domain, or
     with a known ending after a plain one."""
     edits: list[tuple[int, int, str]] = []
-    for m in _DISGUISED.finditer(text):
-        dots = [(d.start() + m.start(k), d.end() + m.start(k)) for k in (1, 3) for d in _ANY_DOT.finditer(m[k])]
-        at = m[2].strip()
-        hidden = [(a, b) for a, b in dots if text[a:b] != "." and a > m.start(2)]
-        bare_at = at[0] not in "[({<@"
-        if bare_at and not hidden and not _KNOWN_END.search(m[3]):
-            continue
-        new = [(a, b, ".") for a, b in dots if text[a:b] != "."]
-        if m[2] != "@":
-            new.append((m.start(2), m.end(2), "@"))
-        edits += sorted(new)
+    for chain in _chains(text):
+        names, links, free = chain.names, chain.links, 0  # names before ``free`` are taken
+        for at, (kind, a0, a1, bare) in enumerate(links):
+            if kind != "@" or at < free:
+                continue
+            first = at
+            while first > free and links[first - 1][0] == ".":
+                first -= 1
+            last, stop = at + 1, None
+            while True:  # the domain goes on while whole names and dots do
+                size = _DOMAIN_NAME.match(text, *names[last]).end() - names[last][0]
+                if size < names[last][1] - names[last][0] or last == len(links) or links[last][0] != "." or not _DOMAIN_NAME.match(text, *names[last + 1])[0]:
+                    stop = names[last][0] + size
+                    break
+                last += 1
+            if last == at + 1 or names[first][0] and text[names[first][0] - 1] in _LOCAL_CHARS:
+                continue
+            dots = [x for x in links[first:last] if x[0] == "." and text[x[1] : x[2]] != "."]
+            if bare and not any(x[1] > a0 for x in dots) and not _KNOWN_END.match(text[names[last][0] : stop]):
+                continue
+            edits += [(x[1], x[2], ".") for x in dots if x[1] < a0]
+            if text[a0:a1] != "@":
+                edits.append((a0, a1, "@"))
+            edits += [(x[1], x[2], ".") for x in dots if x[1] > a0]
+            free = last + 1
     return Mapped(text, edits) if edits else None
 
 
@@ -252,13 +335,18 @@ def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:
     chains = deobfuscate(text)
     if not chains:
         return base
-    out = set(base)
+    more = set()
     for layers in chains:
         for start, end, kind in base_spans(layers[-1].text):
             for layer in reversed(layers):
                 start, end = layer.back(start, end)
-            if not any(k == kind and s <= start and end <= e for s, e, k in out):
-                out.add((start, end, kind))
+            more.add((start, end, kind))
+    # one sweep: what lies in another span of its kind adds nothing
+    out, known, reach = list(base), set(base), [-1] * len(KINDS)
+    for start, end, kind in sorted(known | more, key=lambda s: (s[0], -s[1])):
+        if (start, end, kind) not in known and reach[kind] < end:
+            out.append((start, end, kind))
+        reach[kind] = max(reach[kind], end)
     return sorted(out, key=lambda s: (s[0], s[2], s[1]))
 
 
