@@ -3,15 +3,20 @@ vectorised word hashing."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch handed to Python. Texts can be long, so the default
-#: of 10,000 rows would make batches of a gigabyte.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch handed to Python. Texts can be long, so the
+#: default of 10,000 rows would make batches of a gigabyte.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +30,34 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("bB"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give memory that isn't used any more back to the system. Workers live on
+    after a task; what they keep would add up over the stages of a job."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such function in this C library
+        pass
+
+
+def releasing(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function over the batches of a task that releases memory when it ends."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            yield from f(*args)
+        finally:
+            release()
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:
