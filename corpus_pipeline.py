@@ -9,21 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pagewright.llm.bpe import encode_documents
 from pagewright.llm.common import Scratch, table
 from pagewright.llm.jaccard import keep_one
-from pagewright.llm.langid import identify
+from pagewright.llm.langid import keep_identified
 from pagewright.llm.mixing import mixed
 from pagewright.llm.pii import mask_pii
 from pagewright.llm.queries import TOKENIZER
 
 #: Documents whose best language gets less of the pooled probability are
-#: rejected, as are those without any letter. With four languages every
-#: document has at least a quarter.
-LEAST_SCORE = 0.26
+#: rejected, as are those without any letter. Below it are texts of a word or
+#: two, noise of signs and one word over and over; about half of them would be
+#: given a wrong language.
+LEAST_SCORE = 0.45
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; the others go."""
-    kept = identify(docs).where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}")
-    return kept.select(docs.columns)
+    return keep_identified(docs, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
