@@ -1,15 +1,22 @@
 """Operator 1: BPE encoding and decoding as bounded-lookahead transducers.
 
-Encoding. A merge list is *proper* when each operand of a rule is a base symbol
-or the product of an earlier rule. Then the result equals applying the rules in
-rank order, each from left to right, and what happens at a place depends on
-symbols to its right only through a chain of overlapping rules of falling rank.
-``MergeList`` follows all such chains with one pass over the rules and gets the
-list's sufficient lookahead: a token boundary with that many symbols behind it
-can't change any more. ``WordTransducer`` holds only the symbols of an open
-word that aren't stable yet and emits tokens as soon as they are.
-``Encoder`` puts normalisation and word splitting before it, also by bounded
-pieces, so that memory doesn't grow with the text or with a word's length.
+Encoding. Applying merge rules in rank order has one result for each string, and
+the results of the prefixes of a string hang together: the last token of a
+prefix is the one token that ends there and can follow the last token of what
+stands before it, and two tokens can follow each other if the rules, applied to
+both alone, give them back. ``WordTransducer`` reads a word symbol by symbol and
+notes the last token of each prefix. Whatever comes next, the tokens of the whole
+begin with those of one of the last few prefixes, so what all of these agree on
+is stable and is emitted at once; only the rest is held. ``MergeList`` computes
+the list's sufficient lookahead, by which a boundary is settled at the latest: what
+happens at a place depends on symbols to its right only through a chain of
+overlapping rules of falling rank, and one pass over the rules follows all chains.
+
+``Encoder`` puts special tokens, normalisation and word splitting before it. A
+text is cut at white space; a stretch without any goes through ``_Run`` in pieces,
+which holds only the start of what may become a special token, what may compose
+with the next character, and an apostrophe that may begin a contraction. No
+result depends on where a text is cut.
 
 Decoding. ``Decoder`` is a state machine over token ids. In ``tokens`` form it
 emits what a tokenizer without a decoder gives (token strings joined by one
@@ -28,17 +35,20 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import releasing, small_batches
 
 #: Longest text piece that is looked at as a whole.
 PIECE_CHARS = 1 << 16
-#: Words with their tokens kept by a worker; cleared when full.
-MEMO_WORDS = 300_000
+#: Words with their tokens, and pairs of tokens that were tried, kept by a worker;
+#: cleared when full.
+MEMO_WORDS, MEMO_PAIRS = 200_000, 200_000
 #: Longer words aren't kept.
 MEMO_LEN = 48
 
@@ -56,27 +66,58 @@ _TO_SYMBOLS = {b: s for b, s in enumerate(SYMBOLS)}
 _TO_BYTES = {s: b for b, s in enumerate(SYMBOLS)}
 
 
+#: Stands for the token before the first one.
+START = 1 << 31
+
+
+def end_of_word(symbol: str) -> str:
+    """The character for a symbol at the end of a word."""
+    return chr(0x10000 + ord(symbol))
+
+
 class MergeList:
-    """Vocabulary and merge rules of a tokenizer file with ends of words."""
+    """Vocabulary and merge rules of a tokenizer file with ends of words.
+
+    Inside, a token is a string with one character for each of its symbols; a
+    symbol at the end of a word is another one than the same symbol within."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str, special: dict[str, int]):
-        self.suffix, self.special, self.ids = suffix, special, vocab
+        self.suffix, self.special = suffix, special
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in special.items()}
-        self.rank = {(a, b): r for r, (a, b) in enumerate(merges)}
-        made: set[str] = {s for b in SYMBOLS for s in (b, b + suffix)}
+        self.ids = {self.symbols(t): i for t, i in vocab.items()}
+        rules = [(self.symbols(a), self.symbols(b)) for a, b in merges]
+        self.rank = {rule: r for r, rule in enumerate(rules)}
+        made = {self.symbols(s) for b in SYMBOLS for s in (b, b + suffix)}
         self.proper = True
-        for a, b in merges:
+        for a, b in rules:
             self.proper &= a in made and b in made
             made.add(a + b)
-        self.lookahead = self._sufficient_lookahead(merges)
-
-    def _symbols(self, token: str) -> str:
+        self.longest = max(map(len, self.ids))
+        self.inside = {i: t for t, i in self.ids.items()}
+        #: finds all tokens that end at a place, in one pass
+        self.endings = ahocorasick.Automaton()
+        for t, i in self.ids.items():
+            self.endings.add_word(t, (i, len(t)))
+        self.endings.make_automaton()
+        self.pairs: dict[int, bool] = {}
+        self.lookahead = self._sufficient_lookahead(rules)
+
+    def symbols(self, token: str) -> str:
         """A token with its last symbol and the end of word as one character."""
-        if self.suffix and token.endswith(self.suffix):
+        if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
             token = token[: -len(self.suffix)]
-            return token[:-1] + chr(0x10000 + ord(token[-1]))
+            return token[:-1] + end_of_word(token[-1])
         return token
 
+    def follows(self, before: int, token: int) -> bool:
+        """Whether a token can come after another (START: at the start of a word)."""
+        first, second = self.inside.get(before, ""), self.inside[token]
+        got = self.apply(list(first + second)) == ([first, second] if first else [second])
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.pairs.clear()
+        self.pairs[before << 32 | token] = got
+        return got
+
     def _sufficient_lookahead(self, merges: list[tuple[str, str]]) -> int:
         """The most symbols behind a boundary that can decide about it.
 
@@ -86,7 +127,7 @@ class MergeList:
         best: dict[str, int] = {}  # start of a rule's string -> most (length + reach)
         most = 1
         for a, b in merges:
-            s = self._symbols(a + b)
+            s = a + b
             reach = 0
             for k in range(1, len(s) + 1):
                 far = best.get(s[-k:])
@@ -151,40 +192,84 @@ class MergeList:
 
 
 class WordTransducer:
-    """Tokens of one word, fed in pieces; ``feed`` returns what has become stable."""
+    """Ids of one word, fed in pieces; ``feed`` returns what has become stable."""
 
-    BLOCK = 256
+    #: Symbols read, over the longest token, before it is looked what is stable.
+    BLOCK = 64
 
     def __init__(self, merges: MergeList):
-        self.m, self.held = merges, ""
+        self.m, self.pending = merges, ""
+        # the symbols since the last boundary that came out, and of each of their
+        # prefixes the last token and its length
+        self.held, self.last, self.lens = "", [START], [0]
 
-    def feed(self, symbols: str) -> list[str]:
+    def _read(self, symbols: str) -> None:
+        m, last, lens, n = self.m, self.last, self.lens, len(self.held)
         self.held += symbols
-        out: list[str] = []
-        need = self.m.lookahead + self.BLOCK
-        while len(self.held) > need:  # the last symbol stays: it may end the word
-            window = self.held[:need]
-            at = 0
-            for token in self.m.apply(list(window)):
-                if at + len(token) > need - self.m.lookahead:
-                    break
-                out.append(token)
-                at += len(token)
-            if not at:  # a token longer than the block: look further
-                need += self.BLOCK
+        last += [0] * len(symbols)
+        lens += [0] * len(symbols)
+        pairs, back = m.pairs, max(0, n - m.longest)
+        for at, (token, size) in m.endings.iter(self.held, back):
+            at += 1
+            if at <= n or lens[at] or at - size < back:
                 continue
-            self.held = self.held[at:]
-            need = self.m.lookahead + self.BLOCK
+            before = last[at - size]
+            fits = pairs.get(before << 32 | token)
+            if fits is None:
+                fits = m.follows(before, token)
+            if fits:
+                last[at], lens[at] = token, size
+        if 0 in lens[1:]:
+            raise ValueError("the merge list isn't proper: a prefix has no last token")
+
+    def _take(self, end: int) -> list[int]:
+        """The tokens up to a position that is a boundary for sure."""
+        out, at = [], end
+        while at:
+            out.append(self.last[at])
+            at -= self.lens[at]
+        if end:
+            self.held, self.last, self.lens = self.held[end:], self.last[end:], [0, *self.lens[end + 1 :]]
+        return out[::-1]
+
+    def stable(self) -> int:
+        """The last position that the tokens of every continuation have as a boundary."""
+        n = len(self.held)
+        first = max(0, n - self.m.longest + 1)
+        live, left = bytearray(n + 1), n + 1 - first
+        live[first:] = b"\1" * left
+        for at in range(n, 0, -1):
+            if live[at]:
+                if left == 1:
+                    return at
+                back = at - self.lens[at]
+                left -= live[back]
+                live[back] = 1
+        return 0
+
+    def feed(self, symbols: str) -> list[int]:
+        symbols = self.pending + symbols  # the last symbol waits: it may end the word
+        self.pending = symbols[-1:]
+        out: list[int] = []
+        for i in range(0, len(symbols) - 1, self.BLOCK):
+            self._read(symbols[i : min(i + self.BLOCK, len(symbols) - 1)])
+            if len(self.held) > self.m.longest + self.BLOCK:
+                out += self._take(self.stable())
         return out
 
-    def close(self) -> list[str]:
+    def close(self) -> list[int]:
         """End of the word: the rest."""
-        if not self.held:
-            return []
-        symbols = list(self.held)
-        symbols[-1] += self.m.suffix
-        self.held = ""
-        return self.m.apply(symbols)
+        if self.pending:
+            self._read(end_of_word(self.pending) if self.m.suffix else self.pending)
+            self.pending = ""
+        return self._take(len(self.held))
+
+    def whole(self, symbols: str) -> list[int]:
+        """All ids of a word at once."""
+        if len(symbols) > self.BLOCK or not self.m.suffix:
+            return [*self.feed(symbols), *self.close()]
+        self._read(symbols[:-1] + end_of_word(symbols[-1]))
+        return self._take(len(symbols))
 
 
 _WIDE = re.compile("[^\x00-ɏ]")
@@ -193,7 +278,6 @@ _LATIN = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+"
 )
 _ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-_SPACE_RUN = re.compile("[\t-\r ]")
 
 
 def _lower(text: str) -> str:
@@ -216,141 +300,91 @@ def _joins_left(c: str) -> bool:
     return not c.isascii() and (unicodedata.combining(c) != 0 or unicodedata.normalize("NFC", "a" + c) != "a" + c or 0x1100 <= ord(c) < 0x1200 or unicodedata.category(c)[0] == "M")
 
 
-class Encoder:
-    """Encodes texts fed in pieces of any size.
+def _symbols_of(word: str) -> str:
+    """The byte symbols of a word."""
+    return word if word.isascii() and word.isalnum() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_TO_SYMBOLS)
+
+
+#: Ids, and the same as text joined by spaces.
+Entry = tuple[tuple[int, ...], str]
 
-    ``entries`` yields (count, ids joined by spaces, token strings joined by
-    spaces) as words or stable parts of long words come out."""
+
+class Encoder:
+    """Encodes texts fed in pieces of any size; entries come out word by word, or
+    for a long word in stable parts."""
 
     def __init__(self, merges: MergeList):
         self.m = merges
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.buffer, self.word, self.kind = "", None, ""
+        self.memo: dict[str, Entry] = {}
+        self.buffer, self.run = "", None
         specials = sorted(merges.special, key=len, reverse=True)
+        if any(re.search(r"\s", t) for t in specials):
+            raise ValueError("special tokens with white space aren't supported")
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
+        self.starts = {t[:k] for t in specials for k in range(1, len(t))}
         self.longest_special = max(map(len, specials), default=0)
 
-    def entry(self, tokens: list[str]) -> tuple[int, str, str]:
-        ids = self.m.ids
-        return len(tokens), " ".join([str(ids[t]) for t in tokens]), " ".join(tokens)
+    def entry(self, ids: list[int]) -> Entry:
+        return tuple(ids), " ".join(map(str, ids))
 
-    def of_word(self, word: str) -> tuple[int, str, str]:
+    def of_word(self, word: str) -> Entry:
         got = self.memo.get(word)
         if got is None:
-            symbols = word if word.isascii() and word.isalnum() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_TO_SYMBOLS)
-            if len(symbols) <= self.m.lookahead:  # nothing is stable before the end
-                parts = list(symbols)
-                parts[-1] += self.m.suffix
-                got = self.entry(self.m.apply(parts))
-            else:
-                t = WordTransducer(self.m)
-                got = self.entry([*t.feed(symbols), *t.close()])
+            got = self.entry(WordTransducer(self.m).whole(_symbols_of(word)))
             if len(word) <= MEMO_LEN:
                 if len(self.memo) >= MEMO_WORDS:
                     self.memo = {}
                 self.memo[word] = got
         return got
 
-    def _of_words(self, words: list[str]) -> list[tuple[int, str, str]]:
-        try:
-            memo = self.memo
-            return [memo[w] for w in words]
-        except KeyError:
-            return [self.of_word(w) for w in words]
+    def of_special(self, token: str) -> Entry:
+        return (self.m.special[token],), str(self.m.special[token])
+
+    def _of_words(self, words: list[str]) -> list[Entry]:
+        known, new = self.memo.get, self.of_word
+        return [known(w) or new(w) for w in words]
 
-    def _of_piece(self, text: str) -> list[tuple[int, str, str]]:
-        """Of a piece that begins and ends at a word boundary."""
-        if self.special is None or "<|" not in text:
+    def _of_piece(self, text: str) -> list[Entry]:
+        """Of a piece that begins and ends at white space or at an end of the text."""
+        if self.special is None or not self.special.search(text):
             return self._of_words(words_of(text))
-        out = []
-        for part in self.special.split(text):
-            if part in self.m.special:
-                out.append((1, str(self.m.special[part]), part))
+        out: list[Entry] = []
+        for i, part in enumerate(self.special.split(text)):
+            if i % 2:
+                out.append(self.of_special(part))
             elif part:
                 out += self._of_words(words_of(part))
         return out
 
-    def feed(self, text: str) -> list[tuple[int, str, str]]:
+    def feed(self, text: str) -> list[Entry]:
         """More of the text; what has become certain comes out."""
+        out: list[Entry] = []
+        if self.run is not None:
+            m = _CUT.search(text)
+            out += self.run.feed(text[: m.start()] if m else text, m is not None)
+            if m is None:
+                return out
+            self.run, text = None, text[m.start() :]
         self.buffer += text
-        out: list[tuple[int, str, str]] = []
-        while len(self.buffer) > PIECE_CHARS:
-            cut = max(self.buffer.rfind(" ", 0, PIECE_CHARS), self.buffer.rfind("\n", 0, PIECE_CHARS))
-            if cut > 0:
-                piece, self.buffer = self.buffer[:cut], self.buffer[cut:]
-                out += self._closing(piece)
-            else:
-                cut = self._hard_cut(PIECE_CHARS)
-                piece, self.buffer = self.buffer[:cut], self.buffer[cut:]
-                out += self._open(piece)
+        cut = max(self.buffer.rfind(" "), self.buffer.rfind("\n"))
+        if cut > 0:
+            piece, self.buffer = self.buffer[:cut], self.buffer[cut:]
+            out += self._of_piece(piece)
+        if len(self.buffer) > PIECE_CHARS:  # a long stretch without white space
+            self.run = _Run(self)
+            piece, self.buffer = self.buffer, ""
+            out += self.run.feed(piece[1:] if piece[0] in " \n" else piece, False)
         return out
 
-    def close(self) -> list[tuple[int, str, str]]:
+    def close(self) -> list[Entry]:
         """End of the text."""
+        if self.run is not None:
+            run, self.run = self.run, None
+            return run.feed("", True)
         piece, self.buffer = self.buffer, ""
-        return self._closing(piece)
-
-    # A text without white space is cut inside a word; the word stays open.
+        return self._of_piece(piece)
 
-    def _hard_cut(self, at: int) -> int:
-        """A place at most ``at`` where no character composes over it, and no
-        special token or contraction lies across it."""
-        b = self.buffer
-        for i in range(at, max(at - 4096, 1), -1):
-            if _joins_left(b[i]) or "'" in b[max(0, i - 3) : i + 1]:
-                continue
-            near = b[max(0, i - self.longest_special) : i + self.longest_special]
-            if "<|" in near or "|>" in near or near.endswith("<"):
-                continue
-            return i
-        return at
-
-    @staticmethod
-    def _class(c: str) -> str:
-        return "L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else " " if regex.match(r"\p{White_Space}", c) else "S"
-
-    def _continue(self, piece: str) -> tuple[list[tuple[int, str, str]], str]:
-        """Feed the start of ``piece`` to the open word as far as it goes on."""
-        if self.word is None:
-            return [], piece
-        text = _lower(unicodedata.normalize("NFC", piece))
-        m = (regex.match(r"\p{L}*", text) if self.kind == "L" else regex.match(r"[^\p{White_Space}\p{L}\p{N}]*", text)).end()
-        if self.special is not None and "<|" in text[:m]:
-            m = min(m, text.index("<|"))
-        tokens = self.word.feed(text[:m].encode("utf-8", "surrogatepass").decode("latin-1").translate(_TO_SYMBOLS))
-        rest = text[m:]
-        if rest:
-            tokens += self.word.close()
-            self.word = None
-        return ([self.entry(tokens)] if tokens else []), rest
-
-    def _closing(self, piece: str) -> list[tuple[int, str, str]]:
-        out, rest = self._continue(piece)
-        if self.word is not None:
-            tokens = self.word.close()
-            self.word = None
-            if tokens:
-                out.append(self.entry(tokens))
-        return out + self._of_piece(rest)
-
-    def _open(self, piece: str) -> list[tuple[int, str, str]]:
-        """A piece whose last word may go on in the next one."""
-        out, rest = self._continue(piece)
-        if not rest:
-            return out
-        rest_words = words_of(rest)
-        if self.special is not None and "<|" in rest or not rest_words:
-            return out + self._of_piece(rest)
-        last = rest_words[-1]
-        kind = self._class(last[-1])
-        if kind in "LS" and self._class(rest[-1]) == kind and not last.startswith("'"):
-            out += self._of_words(rest_words[:-1])
-            self.word, self.kind = WordTransducer(self.m), kind
-            tokens = self.word.feed(last.encode("utf-8", "surrogatepass").decode("latin-1").translate(_TO_SYMBOLS))
-            return [*out, self.entry(tokens)] if tokens else out
-        return out + self._of_words(rest_words)
-
-    def entries(self, pieces: Iterable[str]) -> Iterator[list[tuple[int, str, str]]]:
+    def entries(self, pieces: Iterable[str]) -> Iterator[list[Entry]]:
         for piece in pieces:
             if piece:
                 yield self.feed(piece)
@@ -358,7 +392,86 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         """All ids of one text."""
-        return [int(i) for es in self.entries([text]) for _, ids, _ in es for i in ids.split()]
+        return [i for es in self.entries(text[k : k + PIECE_CHARS] for k in range(0, len(text), PIECE_CHARS)) for ids, _ in es for i in ids]
+
+
+_CUT = re.compile("[ \n]")
+_SPACES = regex.compile(r"\p{White_Space}*")
+_OPEN = {"L": regex.compile(r"\p{L}*"), "S": regex.compile(r"[^\p{White_Space}\p{L}\p{N}]*")}
+
+
+class _Run:
+    """Encodes a stretch without blanks or line ends, fed in pieces of any size.
+
+    Three stages follow each other; each holds only what the next characters
+    could still change: ``raw`` what may begin a special token, ``tail`` what may
+    compose with the next character, ``text`` what may be a contraction. The last
+    word stays open in its transducer."""
+
+    def __init__(self, encoder: Encoder):
+        self.e = encoder
+        self.raw = self.tail = self.text = ""
+        self.word: WordTransducer | None = None
+        self.kind = ""
+
+    def feed(self, text: str, last: bool) -> list[Entry]:
+        raw, out, at, special = self.raw + text, [], 0, self.e.special
+        keep = len(raw)
+        if special is not None:
+            # a match that more characters could make longer waits
+            sure = len(raw) if last else len(raw) - self.e.longest_special + 1
+            while (m := special.search(raw, at)) and m.start() < sure:
+                out += self._plain(raw[at : m.start()], True)
+                out.append(self.e.of_special(m[0]))
+                at = m.end()
+            if not last:
+                starts = (k for k in range(max(at, len(raw) - self.e.longest_special), len(raw)) if raw[k:] in self.e.starts)
+                keep = m.start() if m else next(starts, len(raw))
+        self.raw = raw[keep:]
+        return out + self._plain(raw[at:keep], last)
+
+    def _plain(self, piece: str, last: bool) -> list[Entry]:
+        """Text between special tokens; ``last`` if it ends here."""
+        self.tail += piece
+        cut = len(self.tail)
+        if not last:
+            cut -= 1
+            while cut > 0 and _joins_left(self.tail[cut]):
+                cut -= 1
+            cut = max(cut, 0)
+        ready, self.tail = self.tail[:cut], self.tail[cut:]
+        self.text += _lower(ready if ready.isascii() else unicodedata.normalize("NFC", ready))
+        return self._words(last)
+
+    def _words(self, last: bool) -> list[Entry]:
+        out, at, text = [], 0, self.text
+        while True:
+            if self.word is not None:
+                end = _OPEN[self.kind].match(text, at).end()
+                tokens = self.word.feed(_symbols_of(text[at:end])) if end > at else []
+                at = end
+                if at < len(text) or last:
+                    tokens += self.word.close()
+                    self.word = None
+                if tokens:
+                    out.append(self.e.entry(tokens))
+                if self.word is not None:
+                    break
+            at = _SPACES.match(text, at).end()
+            if at == len(text) or text[at] == "'" and len(text) - at < 3 and not last:
+                break
+            m = _ANY.match(text, at)
+            if m.end() == len(text) and not last and (kind := "L" if text[m.end() - 1] != "'" and _LETTER.match(m[0]) else "S" if _SIGN.match(m[0]) and not _CONTRACTED.fullmatch(m[0]) else ""):
+                self.word, self.kind = WordTransducer(self.e.m), kind
+            else:
+                out.append(self.e.of_word(m[0]))
+                at = m.end()
+        self.text = text[at:]
+        return out
+
+
+_LETTER, _SIGN = regex.compile(r"\p{L}"), regex.compile(r"[^\p{White_Space}\p{L}\p{N}]")
+_CONTRACTED = re.compile("'s|'t|'re|'ve|'m|'ll|'d")
 
 
 class Decoder:
@@ -371,15 +484,17 @@ class Decoder:
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
+        tokens = self.m.tokens
+        if self.form == "tokens":
+            said = " ".join([tokens[i] for i in ids if i in tokens])
+            first, self.first = self.first, self.first and not said
+            return said if first or not said else " " + said
         out: list[str] = []
         for i in ids:
-            token = self.m.tokens.get(i)
+            token = tokens.get(i)
             if token is None:
                 continue
-            if self.form == "tokens":
-                out.append(token if self.first else " " + token)
-                self.first = False
-            elif token in self.m.special:
+            if token in self.m.special:
                 out.append(self.utf8.decode(b"", True) + token)
                 self.utf8.reset()
             else:
@@ -402,40 +517,42 @@ def encoder(path: str) -> Encoder:
     """The worker's encoder of a tokenizer file."""
     if path not in _loaded:
         _loaded[path] = Encoder(MergeList.load(path))
+    _loaded[path].buffer, _loaded[path].run = "", None  # a task may have ended within a text
     return _loaded[path]
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Encode and decode every text: the id, ``n_tokens``, ``ids_sha256`` (of
-    the decimal ids joined by one space), ``decoded_sha256`` (of the token
-    strings joined by one space, as a tokenizer without a decoder gives), and
-    with ``with_text`` the ids and the text they decode to.
+    the decimal ids joined by one space), ``decoded_sha256`` (of what ``Decoder``
+    makes of the ids in ``tokens`` form, as a tokenizer without a decoder does),
+    and with ``with_text`` the ids and the text they decode to.
 
-    Null text counts as empty. Rows stay as they are, repeated ones too; other
-    columns aren't read. No shuffle: each row is by itself."""
+    Null text counts as empty. Rows stay as they are, repeated ones and null ids
+    too; an empty table gives an empty one; other columns aren't read. No
+    shuffle: each row is by itself."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     extra = ", ids array<int>, decoded string" if with_text else ""
 
+    @releasing
     def run(batches):
         enc = encoder(path)
         for batch in batches:
             counts, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                n, h_ids, h_text, kept = 0, hashlib.sha256(), hashlib.sha256(), []
-                sep = ""
-                step = 16 * PIECE_CHARS
-                for es in enc.entries(text[i : i + step] for i in range(0, len(text), step)):
+                n, h_ids, h_text, kept, sep = 0, hashlib.sha256(), hashlib.sha256(), [], ""
+                dec = Decoder(enc.m, "tokens")
+                for es in enc.entries(text[i : i + PIECE_CHARS] for i in range(0, len(text), PIECE_CHARS)):
                     if not es:
                         continue
-                    n += sum([e[0] for e in es])
-                    ids = " ".join([e[1] for e in es])
-                    h_ids.update((sep + ids).encode())
-                    h_text.update((sep + " ".join([e[2] for e in es])).encode())
+                    ids = list(chain.from_iterable([e[0] for e in es]))
+                    n += len(ids)
+                    h_ids.update((sep + " ".join([e[1] for e in es])).encode())
+                    h_text.update(dec.feed(ids).encode())
                     sep = " "
                     if with_text:
-                        kept += map(int, ids.split())
+                        kept += ids
                 counts.append(n)
                 ids_sha.append(h_ids.hexdigest())
                 text_sha.append(h_text.hexdigest())
@@ -450,4 +567,4 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -52,3 +53,57 @@ def test_rows(spark):
     got = bpe.encode_documents(df, PATH, with_text=True).collect()
     assert sorted(r.n_tokens for r in got) == [0, 0, 1, 2, 2]
     assert bpe.encode_documents(df.limit(0), PATH).count() == 0
+
+
+HOSTILE = ["'" * 70000, "<|" * 40000, "<|endoftext|>" * 6000, "a" * 70000 + "'s'" * 30000, "<|endoftext" * 9000 + "|>", "é" * 50000 + "é" * 30000, "!" * 65535 + "'ll" + "x" * 70000, "中文" * 40000 + "<|startoftext|>'re"]
+
+
+@pytest.mark.parametrize("i", range(len(HOSTILE)))
+def test_long_texts_without_white_space(both, i):
+    enc, lib = both
+    rng = random.Random(i)
+    noise = "".join(rng.choice(["'", "<|", "<|endoftext|>", "'s", "re", "é", "é", "x", "th", "1", "."]) for _ in range(60_000))
+    for s in (HOSTILE[i], HOSTILE[i] + noise, noise + HOSTILE[i] + " " + noise):
+        want = lib.encode(s, add_special_tokens=False).ids
+        assert enc.encode(s) == want
+
+
+def test_cuts_anywhere(both):
+    enc, lib = both
+    rng = random.Random(9)
+    for _ in range(300):
+        s = "".join(rng.choice(["'", "<|", "<|endoftext|>", "'s", "'r", "e", "é", "é", "̧", "x", "1", ".", "Σ", "\u0085", "가", "ᄀ", "ᅡ"]) for _ in range(rng.randint(1, 60)))
+        run, at, got = bpe._Run(enc), 0, []
+        while at < len(s):
+            k = rng.randint(1, 9)
+            got += run.feed(s[at : at + k], False)
+            at += k
+        got += run.feed("", True)
+        assert [i for ids, _ in got for i in ids] == lib.encode(s, add_special_tokens=False).ids
+
+
+def test_transducer_gives_what_the_rules_give(both):
+    m, rng = both[0].m, random.Random(4)
+    for _ in range(1500):
+        word = "".join(rng.choice(rng.choice(["ab", "etaoin", "thinre", "aaab", "x1"])) for _ in range(rng.randint(1, 400)))
+        t, out, at, most = bpe.WordTransducer(m), [], 0, 0
+        while at < len(word):
+            k = rng.randint(1, 90)
+            out += t.feed(word[at : at + k])
+            at, most = at + k, max(most, len(t.held))
+        out += t.close()
+        want = m.apply(list(word[:-1]) + [bpe.end_of_word(word[-1])])
+        assert [m.inside[i] for i in out] == want
+        assert most <= m.lookahead + m.longest + t.BLOCK
+
+
+def test_tables(spark):
+    lib = tokenizers.Tokenizer.from_file(PATH)
+    texts = ["Hi <|endoftext|> it's", None, "", "x" * 70_000 + "'s", "日本 " * 20_000]
+    df = spark.createDataFrame([(i, t, "n", 1) for i, t in enumerate(texts)] + [(0, texts[0], "n", 1)], "doc_id long, text string, ids_sha256 string, n_tokens int")
+    got = bpe.encode_documents(df, PATH).collect()
+    assert len(got) == 6
+    for r in got:
+        ids = lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
