@@ -6,6 +6,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -132,8 +133,10 @@ def _power_table(which: str, n: int) -> np.ndarray:
     return have
 
 
-#: Bytes hashed at once; longer texts go piece by piece so that memory stays bounded.
-PIECE = 1 << 20
+#: Bytes hashed at once; longer texts, and longer words too, go piece by piece so
+#: that memory stays bounded.
+PIECE = 1 << 18
+_ANY_SPACE = re.compile(rb"[\t-\r ]")
 
 
 def word_hashes(data: bytes) -> np.ndarray:
@@ -142,13 +145,32 @@ def word_hashes(data: bytes) -> np.ndarray:
     out, at, n = [], 0, len(data)
     while at < n:
         end = min(n, at + PIECE)
-        while end < n and not _SPACE[data[end]]:  # never cut a word
-            end += 1
+        if end < n and not _SPACE[data[end]]:  # never cut a word
+            cut = max(data.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if cut < at:
+                m = _ANY_SPACE.search(data, end)
+                end = m.start() if m else n
+                out.append(_hash_long(data, at, end))
+                at = end
+                continue
+            end = cut + 1
         out.append(_hash_piece(data[at:end]))
         at = end
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def _hash_long(data: bytes, start: int, end: int) -> np.ndarray:
+    """The hash of one word that is longer than a piece."""
+    total = 0
+    for at in range(start, end, PIECE):
+        raw = np.frombuffer(data, np.uint8, min(PIECE, end - at), at)
+        part = int((_LETTER[raw] * _power_table("up", PIECE)[: len(raw)]).sum())
+        total += part * pow(_BASE, at - start, 1 << 64)
+    h = np.array([total % (1 << 64)], np.uint64)
+    h += np.uint64((end - start) % (1 << 64)) * _MULT
+    return mix(h)
+
+
 def _hash_piece(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = np.zeros(len(raw) + 2, dtype=np.int8)

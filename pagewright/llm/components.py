@@ -17,8 +17,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b); the root is the least node."""
+def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 200) -> DataFrame:
+    """(node, root) for every node of ``links`` (a, b); the root is the least node.
+
+    Each round at least halves the longest way to a root, so far fewer rounds than
+    ``rounds`` do; if they ever don't, that is an error and not a result."""
     edges = scratch.put(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     state = _state(edges)
     for i in range(1, rounds + 1):
@@ -35,5 +38,7 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"links didn't settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, shingle_hashes, small_batches, text_bytes, word_hashes
+from .common import LOWER, Scratch, releasing, shingle_hashes, small_batches, text_bytes, word_hashes
 from .components import components
 
 #: Shingle width, and the similarity of a link as a fraction.
@@ -50,11 +50,11 @@ WIDTH, NUM, DEN = 5, 75, 100
 #: Counters of a task's heavy-hitter summary, and how many sets make a shingle heavy.
 COUNTERS, HEAVY = 1 << 16, 6
 #: Shingles a task gathers before it adds them to its summary.
-GATHERED = 3_000_000
+GATHERED = 1_000_000
 #: The most heavy shingles that are ordered last.
 MOST_HEAVY = 1 << 18
 #: Packed entries of one bucket, and entries a task holds before it sends them on.
-BUCKET_ENTRIES, HELD_ENTRIES = 400_000, 2_000_000
+BUCKET_ENTRIES, HELD_ENTRIES = 400_000, 500_000
 #: First rounds, in which cells form; members of a region that is joined as a
 #: whole after them; the rounds after which a larger one is, in blocks of members.
 CELL_ROUNDS, WHOLE_REGION, PIVOT_ROUNDS, BLOCK = 2, 3000, 4, 1000
@@ -106,6 +106,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
     """A row per text (id, n, digest) and a row per task with its heavy shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @releasing
     def run(batches):
         heavy, seen, id_type, gathered = HeavyKeys(), set(), None, []
         for batch in batches:
@@ -155,6 +156,7 @@ def _ordered_prefix(s: np.ndarray, heavy: np.ndarray, num: int, den: int) -> np.
 def _entries(docs: DataFrame, text_col: str, width: int, heavy: np.ndarray, buckets: int, num: int, den: int) -> DataFrame:
     """Prefix shingles with their set's digest, packed by bucket."""
 
+    @releasing
     def run(batches):
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
@@ -225,6 +227,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("digest").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("digest").alias("b"), F.col("members").alias("right"))
 
+    @releasing
     def run(batches):
         for batch in batches:
             common, total = [], []
@@ -263,6 +266,7 @@ def _maybe_near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     left = sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("left"))
     right = sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("right"))
 
+    @releasing
     def run(batches):
         for batch in batches:
             most = (np.asarray(batch.column(4)) + np.asarray(batch.column(5))) * (den - num)
@@ -282,10 +286,10 @@ def class_starts(most: int, num: int = NUM, den: int = DEN) -> list[int]:
     return out
 
 
-def near_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes], side: np.ndarray, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
-    """Pairs of different components that sizes and sketches leave possible.
+def near_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes], side: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (two arrays) of different components that sizes and sketches leave possible.
     With ``side`` 0 and 1 (two blocks) only pairs across; else -1."""
-    out: list[tuple[int, int]] = []
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     folded: dict[int, np.ndarray] = {}
 
     def at_length(k):
@@ -305,8 +309,9 @@ def near_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list
             f = at_length(int(k))
             apart = np.abs(f[some] - f[i]).sum(axis=1, dtype=np.int64)
             some = some[apart * (den + num) <= (n[some] + n[i]) * (den - num)]
-            out += [(int(node[i]), int(node[j])) for j in some]
-    return out
+            left.append(np.full(len(some), node[i], np.int64))
+            right.append(node[some])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _join_regions(open_: DataFrame, sketches: DataFrame, starts: list[int], whole: bool, num: int, den: int) -> DataFrame:
@@ -326,8 +331,7 @@ def _join_regions(open_: DataFrame, sketches: DataFrame, starts: list[int], whol
 
     def join(t: pa.Table) -> pa.Table:
         col = lambda k: np.asarray(t[k])
-        found = near_pairs(col("member"), col("root"), col("n"), t["sketch"].to_pylist(), col("side"), num, den)
-        a, b = zip(*found) if found else ([], [])
+        a, b = near_pairs(col("member"), col("root"), col("n"), t["sketch"].to_pylist(), col("side"), num, den)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return told.groupBy("region", "w", "b0", "b1").applyInArrow(join, "a long, b long").distinct()
@@ -347,8 +351,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = scratch.put(rows.where("digest is not null").groupBy("digest").agg(F.min(id_col).alias("rep"), F.first("n").alias("n")), "classes")
 
     heavy = told.where("n = -1").select(F.explode(F.arrays_zip("heavy", "times")).alias("z")).groupBy(F.col("z.heavy").alias("key")).agg(F.sum("z.times").alias("times"))
-    found = heavy.where(F.col("times") >= HEAVY).orderBy(F.desc("times"), "key").limit(MOST_HEAVY).collect()
-    order = np.array([[r.key for r in found], [r.times for r in found]], dtype=np.int64).reshape(2, -1)
+    found = heavy.where(F.col("times") >= HEAVY).orderBy(F.desc("times"), "key").limit(MOST_HEAVY).toArrow()
+    order = np.array([found["key"].to_numpy(), found["times"].to_numpy()], dtype=np.int64).reshape(2, -1)
     values, late = order[0].view(np.uint64), np.lexsort((order[0].view(np.uint64), order[1]))
     place = np.empty(len(values), np.uint64)
     place[late] = np.arange(len(values), dtype=np.uint64)
@@ -441,6 +445,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
     ids = wanted.select(F.col("rep").alias("_rep")).distinct()
     some = docs.select(id_col, text_col).join(_few(ids, n), F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi")
 
+    @releasing
     def run(batches):
         for batch in batches:
             digests, sizes, held = [], [], []

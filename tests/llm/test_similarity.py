@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
-from pagewright.llm import jaccard, neardup, simhash
+from pagewright.llm import common, jaccard, neardup, simhash
+from pagewright.llm.components import components
 
 
 def brute(docs):
@@ -99,3 +101,34 @@ def test_embedding_links(spark):
         n = sum(j != i and j < 200 and o == label and a @ np.asarray(w, float) / np.linalg.norm(a) / np.linalg.norm(w) >= 0.93 for j, w, o in rows if w)
         assert got[i].n_links == n
     assert neardup.audit(df.where("vec_id < 200"), neardup.near_duplicates(df)) >= 0.9
+
+
+def test_words_of_any_length_hash_alike_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    data = [b"", b" ", b"x" * 5000, b" " * 3000 + b"y" * 4000 + b"\t" + b"z" * 999, " ".join("é" * rng.randint(1, 700) for _ in range(40)).encode(), bytes(rng.choice(b"ab \n") for _ in range(9000))]
+    whole = [common.word_hashes(d) for d in data]
+    assert [len(w) for w in whole] == [len(d.split()) for d in data]
+    monkeypatch.setattr(common, "PIECE", 64)
+    for d, want in zip(data, whole):
+        assert np.array_equal(common.word_hashes(d), want)
+        assert np.array_equal(np.concatenate([common.word_hashes(w) for w in d.split()] or [want]), want)
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    scratch = common.Scratch(spark, "cc-test")
+    assert {r.root for r in components(links, scratch).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(links, scratch, "again", rounds=2)
+
+
+def test_jaccard_rows_of_every_kind(spark):
+    rows = [(1, "a b c d e f g h", "x"), (1, "a b c d e f g h", "x"), (None, "a b c d e f g h", None), (None, "q r s t u v", None), (2, None, "y"), (3, "", "z"), (4, "w" * 300_000, "z"), (5, "W" * 300_000, "z"), (6, "a b c d e f g h i", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.jaccard_components(df).collect())
+    assert got == [(0, 2, 0), (0, 4, 1), (1, 4, 1), (1, 4, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 5, 1)]
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    # rows with a null id stay, a repeated id keeps one row
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4]
+    assert jaccard.keep_one(df.limit(0)).count() == 0
