@@ -167,7 +167,7 @@ def _hash_long(data: bytes, start: int, end: int) -> np.ndarray:
         part = int((_LETTER[raw] * _power_table("up", PIECE)[: len(raw)]).sum())
         total += part * pow(_BASE, at - start, 1 << 64)
     h = np.array([total % (1 << 64)], np.uint64)
-    h += np.uint64((end - start) % (1 << 64)) * _MULT
+    h += np.array([end - start], np.uint64) * _MULT
     return mix(h)
 
 

@@ -20,8 +20,8 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 200) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); the root is the least node.
 
-    Each round at least halves the longest way to a root, so far fewer rounds than
-    ``rounds`` do; if they ever don't, that is an error and not a result."""
+    The rounds needed grow with the logarithm of the number of nodes; more than
+    ``rounds`` are an error and not a result."""
     edges = scratch.put(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     state = _state(edges)
     for i in range(1, rounds + 1):
