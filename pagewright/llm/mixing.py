@@ -3,7 +3,9 @@
 Words are summed per source with map-side partial sums; the per-source table
 (one row per source) gets targets by water-filling; each document is then taken
 floor(rate) times plus once more if a coin seeded by its id falls under the
-fraction. All native; the only shuffles carry a few numbers per row, never text.
+fraction. All native. The per-source table is written, counted and broadcast
+while it has at most ``BROADCAST_SOURCES`` rows, so no text is shuffled; a larger
+one is joined as the optimizer finds, which splits a hot source.
 
 Water-filling: sources share the total by weight, a target stops at ``cap``
 times the source's size, and what is over goes to the others by weight until
@@ -11,21 +13,28 @@ none is above. Sorted by cap/weight, a source is at its cap exactly if its cap
 is at most its share of what the sources before it leave; so two running sums
 give the fixed point with no iteration.
 
-Null text has size 0; null source is a source of its own, the last one; rows
-with a null id share one coin; repeated rows are taken alike; a source without
-words has target 0. Extra columns are carried along by ``mixed``.
+Null text has size 0; null source is a source of its own, the last one; the coin
+of a row with a null id is seeded by its text; repeated rows are taken alike; a
+source without words has target 0; an empty table gives an empty mix. Extra
+columns are carried along by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Scratch
+
 #: Weights of the sources in code point order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's size.
 CAP = 3
+#: Rows of the per-source table that are broadcast at most.
+BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -33,9 +42,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def coin(doc_id: Column, seed: str = "mix") -> Column:
-    """A number in [0, 1) that depends on the id and the seed only."""
-    key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def coin(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """A number in [0, 1) that depends on the id (of a null id: on the text) and the seed only."""
+    key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))))
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
@@ -65,38 +74,43 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return s.select("source", "source_size", F.when(F.col("full"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
-def rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Per document: id, size, source_size, target, copies, taken."""
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+def _per_source(sized: DataFrame, weights: tuple[int, ...], cap: int, scratch: Scratch) -> DataFrame:
+    """(_source, source_size, target, _rate), broadcast if that is small enough."""
     per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    per = per.withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = sized.join(per, sized.source.eqNullSafe(per._source)).withColumn("_rate", rate)
-    copies = F.floor("_rate") + F.when(coin(F.col("_id")) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    out = out.withColumn("copies", copies.cast("long"))
+    per = scratch.put(per.select(F.col("source").alias("_source"), "source_size", "target", rate.alias("_rate")), "per-source")
+    return F.broadcast(per) if per.count() <= BROADCAST_SOURCES else per
+
+
+def _copies(rate: Column, coin_: Column) -> Column:
+    return (F.floor(rate) + F.when(coin_ < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
+def rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """Per document: id, size, source_size, target, copies, taken.
+
+    Texts are read once: sizes and coins are a written table."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), coin(F.col(id_col), F.col(text_col)).alias("_coin"))
+    sized = scratch.put(sized, "sized")
+    per = _per_source(sized, weights, cap, scratch)
+    out = sized.join(per, sized.source.eqNullSafe(per._source)).withColumn("copies", _copies(F.col("_rate"), F.col("_coin")))
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The mix itself: each document of ``docs`` as often as it is taken.
-
-    The per-source rates join the documents on the source; they are one row per
-    source, so the join broadcasts or splits a hot source as the optimizer finds."""
-    sized = docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    per = per.select(F.col("source").alias("_mix_source"), rate.alias("_mix_rate"))
-    out = docs.join(per, docs[source_col].eqNullSafe(per._mix_source))
-    part = F.col("_mix_rate") - F.floor("_mix_rate")
-    copies = (F.floor("_mix_rate") + F.when(coin(docs[id_col]) < part, 1).otherwise(0)).cast("int")
-    out = out.withColumn("_mix_copies", copies).where("_mix_copies > 0")
-    out = out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    """The mix itself: each document of ``docs`` as often as it is taken."""
+    scratch = Scratch(docs.sparkSession, "mixed")
+    per = _per_source(docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), weights, cap, scratch)
+    copies, nth = _copies(per["_rate"], coin(docs[id_col], docs[text_col])), f"_copy_{uuid.uuid4().hex}"
+    out = docs.join(per, docs[source_col].eqNullSafe(per["_source"])).where(copies > 0)
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias(nth)).drop(nth)
 
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    'mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS seed
   FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -120,7 +134,7 @@ targets AS (
 rated AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-    CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS coin
+    CAST(('0x' || substr(md5(d.seed), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS coin
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   CAST(size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
