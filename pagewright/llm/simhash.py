@@ -12,13 +12,15 @@ within r; so there is one table for each two blocks, sorted (hashed) by these.
 Equal fingerprints are one entry with a count.
 
 ``with_edited`` pairs every document with the next in descending id without a
-global sort: ids are cut into ranges by their quantiles, each range is one
-bucket, and the first row of the next bucket is sent along as a guest. Texts
-are shuffled once.
+global sort in one task: rows are dealt into ranges of (id, hash of the text), so
+that neither equal nor null ids gather in one, and sorted there. Texts are
+shuffled once, into as many ranges as their bytes ask for. The last row of a range
+is finished when the heads of all ranges are known; these are two rows a range.
 
 Null text is empty; its fingerprint has no bit set. Null ids come last; of equal
-ids the order is by the text's hash. The only document is next to itself. Other
-columns aren't read.
+ids the order is by the text's hash. The only document is next to itself. Repeated
+rows are next to each other; an empty table gives an empty result. Other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -29,12 +31,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, mix, small_batches, text_bytes, word_hashes
+from .common import LOWER, Scratch, mix, releasing, small_batches, text_bytes, word_hashes
 
 BITS, RADIUS = 128, 3
+#: Bytes of text that a range aims at.
+RANGE_BYTES = 64 << 20
 _PAIR, _SECOND = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -68,60 +73,65 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _ranges(docs: DataFrame, id_col: str, parts: int) -> list:
-    """Ascending bounds that cut the ids into about ``parts`` ranges."""
-    at = [i / parts for i in range(1, parts)]
-    if not at:
-        return []
-    got = docs.agg(F.percentile_approx(id_col, at, 10_000)).first()[0]
-    return sorted(set(got or []))
-
-
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _ranges(docs, id_col, parts)
+    scratch = Scratch(spark, "edited")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col("id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(above).cast("int"))
-    heads = [(r.bucket, r.head) for r in rows.groupBy("bucket").agg(F.max("id").alias("head")).orderBy("bucket").collect()]
-    # the head of each bucket is a guest of the one before; the first's, of the last
-    to = F.lit(None).cast("int")
-    for i, (bucket, head) in enumerate(heads):
-        to = F.when((F.col("bucket") == bucket) & F.col("id").eqNullSafe(F.lit(head)), F.lit(heads[i - 1][0])).otherwise(to) if len(heads) <= 64 else to
-    if len(heads) > 64:
-        table = F.create_map(*[x for i, (b, h) in enumerate(heads) for x in (F.lit(b), F.struct(F.lit(h).cast(rows.schema["id"].dataType).alias("head"), F.lit(heads[i - 1][0]).alias("to")))])
-        mine = F.try_element_at(table, F.col("bucket"))
-        to = F.when(F.col("id").eqNullSafe(mine["head"]), mine["to"])
-    goes = F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.when(to.isNotNull(), F.struct(to.alias("bucket"), F.lit(1).alias("guest")))))
-    dealt = rows.withColumn("goes", F.explode(goes)).select(F.col("goes.bucket").alias("bucket"), F.col("goes.guest").alias("guest"), "id", "text")
-    dealt = dealt.repartition(max(parts, len(heads)), "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("id"), F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // RANGE_BYTES + 1)
+    order = [F.desc_nulls_last("id"), F.xxhash64("text").asc()]
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     kind = docs.schema[id_col].dataType.simpleString()
+    told = f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+    def finished(doc, text, print_, next_text, next_print) -> tuple:
+        new = edited(text, next_text)
+        new_print = fingerprint(*terms(new)) if new != text else print_
+        sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+        return doc, len(text), sha, print_.hex(), new_print.hex(), likeness(print_, new_print), likeness(print_, next_print)
+
+    def as_batch(out: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
+        cols = zip(*out) if out else [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[*names, "at", "end", "text"])
+
+    @releasing
     def run(batches):
-        held = None  # (bucket, id, text, fingerprint)
+        # end: 0 a row that is done, 1 the head of the range, 2 its last row
+        at, held, id_type = TaskContext.get().partitionId(), None, None  # held: (id, text, fingerprint)
         for batch in batches:
-            out, id_type = [], batch.column(2).type
-            for bucket, guest, doc, text in zip(*(batch.column(k) for k in range(4))):
-                bucket, guest, doc, text = bucket.as_py(), guest.as_py(), doc.as_py(), text.as_py()
-                if guest and (held is None or held[0] != bucket):
-                    continue
+            out, id_type = [], batch.column(0).type
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                doc, text = doc.as_py(), text.as_py()
                 print_ = fingerprint(*terms(text))
-                if held is not None and held[0] == bucket:
-                    new = edited(held[2], text)
-                    new_print = fingerprint(*terms(new)) if new != held[2] else held[3]
-                    sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((held[1], len(held[2]), sha, held[3].hex(), new_print.hex(), likeness(held[3], new_print), likeness(held[3], print_)))
-                held = None if guest else (bucket, doc, text, print_)
-            types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            cols = zip(*out) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                if held is None:
+                    out.append((doc, None, None, print_.hex(), None, None, None, at, 1, text))
+                else:
+                    out.append((*finished(*held, text, print_), at, 0, None))
+                held = doc, text, print_
+            yield as_batch(out, id_type)
+        if held is not None:
+            yield as_batch([(held[0], None, None, held[2].hex(), None, None, None, at, 2, held[1])], id_type)
+
+    first = scratch.put(dealt.mapInArrow(run, f"{told}, at int, end int, text string"), "first")
+    heads = first.where("end = 1").select("at", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
+    # the ranges that have rows: a number for each
+    have = sorted(r["at"] for r in heads.select("at").collect())
+    after = spark.createDataFrame(list(zip(have, have[1:] + have[:1])), "last int, at int")
+    lasts = first.where("end = 2").select(F.col(id_col).alias("id"), "text", "fingerprint", F.col("at").alias("last"))
+    ends = lasts.join(F.broadcast(after), "last").join(heads, "at").select("id", "text", "fingerprint", "next_text", "next_print")
+
+    def finish(batches):
+        for batch in batches:
+            out = [finished(d, t, bytes.fromhex(p), n, bytes.fromhex(q)) for d, t, p, n, q in zip(*(c.to_pylist() for c in batch.columns))]
+            yield as_batch([(*r, 0, 0, None) for r in out], batch.column(0).type)
 
-    return dealt.mapInArrow(run, f"{id_col} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    done = first.where("end = 0").unionByName(ends.mapInArrow(finish, f"{told}, at int, end int, text string"))
+    return done.select(names)
 
 
 def _blocks(hex_print: Column, radius: int) -> list[Column]:
@@ -135,9 +145,9 @@ def _halves(hex_print: Column) -> list[Column]:
     return [F.conv(F.substring(hex_print, i, 8), 16, 10).cast("long") for i in range(1, BITS // 4, 8)]
 
 
-def within_radius(prints: DataFrame, queries: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(id, n_within): for each query row, how many rows of ``prints`` lie within
-    ``radius`` of its fingerprint, itself not counted."""
+def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, n): for each distinct fingerprint of ``queries``, how many rows
+    of ``prints`` lie within ``radius`` of it, rows that have it included."""
     every = prints.groupBy("fingerprint").agg(F.count("*").alias("times"))
     asked = queries.select("fingerprint").distinct()
 
@@ -150,15 +160,16 @@ def within_radius(prints: DataFrame, queries: DataFrame, id_col: str = "doc_id",
     two = tables(every).select(F.col("fingerprint").alias("p"), "times", "key")
     apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(_halves(F.col("q")), _halves(F.col("p")))), F.lit(0))
     near = one.join(two, "key").where(apart <= radius).select("q", "p", "times").distinct()
-    n = near.groupBy("q").agg(F.sum("times").alias("n"))
-    return queries.join(n, queries.fingerprint == n.q).select(id_col, (F.col("n") - 1).alias("n_within"))
+    return near.groupBy(F.col("q").alias("fingerprint")).agg(F.sum("times").alias("n"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 50, radius: int = RADIUS) -> DataFrame:
     """``with_edited`` and, for rows whose id is divisible by ``every``, how many
-    others lie within ``radius`` (``n_within``; null for other rows)."""
+    other rows lie within ``radius`` of the row's own fingerprint (``n_within``;
+    null for other rows)."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.put(with_edited(docs, id_col, text_col), "prints")
-    asked = prints.where(F.col(id_col) % every == 0).select(id_col, "fingerprint")
-    n = within_radius(prints, asked, id_col, radius).dropDuplicates([id_col])
-    return prints.join(n, id_col, "left")
+    is_asked = F.coalesce(F.col(id_col) % every == 0, F.lit(False))
+    asked = prints.where(is_asked)
+    counted = asked.join(within_radius(prints, asked, radius), "fingerprint").select(*prints.columns, (F.col("n") - 1).alias("n_within"))
+    return counted.unionByName(prints.where(~is_asked).withColumn("n_within", F.lit(None).cast("long")))
