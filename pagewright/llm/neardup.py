@@ -2,9 +2,12 @@
 
 1. Vectors are compared only within a label. Equal vectors of a label are one
    class, so a group of copies of any size is one node.
-2. Shards. Centres are fitted on a bounded sample (``SAMPLE`` classes a label);
-   every class goes to its nearest ``OVERLAP`` centres, so neighbouring shards
-   overlap. A shard with more than ``BLOCK`` classes is dealt into blocks.
+2. Shards. A label gets a centre for each ``PER_CENTRE`` classes (``MOST_CENTRES``
+   at most), fitted by one task on a sample of ``PER_FIT`` classes a centre; a label
+   too small for two is one shard. Every class goes to its nearest ``OVERLAP``
+   centres, so neighbouring shards overlap. Centres of up to ``CENTRE_BYTES`` go
+   to all tasks, more meet bounded parts of their labels on the executors. A shard
+   with more than ``BLOCK`` classes is dealt into blocks.
 3. Build. Each block gets a flat graph: every node keeps a few neighbours, the
    nearest first, and drops a candidate that a kept neighbour is closer to by
    the factor ``ALPHA`` (robust pruning); links back are added and pruned again.
@@ -17,8 +20,10 @@
    vectors; only pairs at or over the threshold count. ``audit`` measures recall
    against brute force for a share of the rows.
 
-A task holds one block and a bounded batch of queries. Links leave a task as a
-count and the least node reached, never as all pairs of a group.
+A task holds one block and a bounded batch of queries. Links leave a task as
+counts and the least node reached, never as all pairs of a group. A link counts at
+both of its ends: where the home shard of one end doesn't hold the other, only one
+of them can find it, and its task counts the link for the other one too.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and
 those with a null label, link with nothing. Vectors of unequal length aren't
@@ -34,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, releasing
 from .components import components
 
 THRESHOLD = 0.93
-#: Classes a label that the centres are fitted on; classes a centre aims at.
-SAMPLE, PER_CENTRE = 1024, 400
+#: Classes a centre aims at, and sampled classes that it is fitted on; the most
+#: centres of a label; bytes of all centres that go to every task; classes that
+#: meet centres at once where they don't.
+PER_CENTRE, PER_FIT, MOST_CENTRES, CENTRE_BYTES, PART = 400, 8, 4096, 32 << 20, 20_000
 #: Shards that each class is put in, and classes in a block.
 OVERLAP, BLOCK = 3, 1500
 #: Neighbours a node keeps, candidates it is given, the pruning factor, the
@@ -177,18 +184,63 @@ def classes_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) ->
     return good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select(F.xxhash64("label", "v").alias("node"), "label", F.size("v").alias("dim"), "v", "rep", "copies")
 
 
-def _centres(classes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
-    """Centres of each (label, dimension), from a bounded sample: of every group
-    the class of the least hash in each of SAMPLE buckets."""
-    counts = {(r.label, r.dim): r.n for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}
-    bucket = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(SAMPLE))
-    picked = classes.groupBy("label", "dim", bucket.alias("bucket")).agg(F.min_by("v", F.xxhash64("node", F.lit(13))).alias("v")).select("label", "dim", "v").toPandas()
-    out = {}
-    for (label, dim), part in picked.groupby(["label", "dim"]):
-        k = max(1, round(counts[label, dim] / PER_CENTRE))
-        x = _unit(_matrix(part.sort_values("v", key=lambda s: s.map(tuple)).v))
-        out[label, int(dim)] = fit_centres(x, min(k, max(1, len(x) // 8)))
-    return out
+def _centres(classes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(label, dim, shard, centre) of the labels with more than one, from a bounded
+    sample of each: the class of the least hash in each of its buckets."""
+    many = counts.where("k > 1")
+    bucket = F.pmod(F.xxhash64("node", F.lit(11)), F.col("k") * PER_FIT)
+    picked = classes.join(many, ["label", "dim"]).groupBy("label", "dim", "k", bucket.alias("bucket")).agg(F.min_by("v", F.xxhash64("node", F.lit(13))).alias("v"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(_matrix(pdf.sort_values("bucket").v))
+        c = fit_centres(x, min(int(pdf.k.iloc[0]), max(1, len(x) // PER_FIT)))
+        return pd.DataFrame({"label": pdf.label.iloc[0], "dim": pdf.dim.iloc[0], "shard": range(len(c)), "centre": list(c)})
+
+    return picked.groupBy("label", "dim", "k").applyInPandas(fit, "label string, dim int, shard int, centre array<double>")
+
+
+def _assigned(part: pd.DataFrame, c: np.ndarray | None) -> pd.DataFrame:
+    """The classes of ``part`` in each of their shards; ``shards``: the nearest first, their home."""
+    order = np.zeros((len(part), 1), int) if c is None or not len(c) else np.argsort(-(_unit(_matrix(part.v)) @ c.T), axis=1, kind="stable")[:, :OVERLAP]
+    all_of = [r.tolist() for r in order]
+    return pd.concat([pd.DataFrame({"label": part.label, "dim": part.dim, "shard": order[:, r], "home": r == 0, "node": part.node, "v": part.v, "copies": part.copies, "shards": all_of}) for r in range(order.shape[1])])
+
+
+_PLACED = "label string, dim int, shard int, home boolean, node long, v array<double>, copies long, shards array<int>"
+
+
+def _placed(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The classes in their shards."""
+    k = F.least(F.lit(MOST_CENTRES), F.greatest(F.lit(1), F.round(F.col("n") / PER_CENTRE).cast("int")))
+    counts = scratch.put(classes.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("k", k), "counts")
+    centres = scratch.put(_centres(classes, counts), "centres")
+    if (centres.agg(F.sum(F.col("dim") * 8)).first()[0] or 0) <= CENTRE_BYTES:
+        known: dict[tuple[str, int], np.ndarray] = {}
+        for r in centres.orderBy("label", "dim", "shard").toLocalIterator():
+            known.setdefault((r.label, r.dim), []).append(r.centre)
+        known = {k: np.array(v) for k, v in known.items()}
+        schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("shard", pa.int32()), ("home", pa.bool_()), ("node", pa.int64()), ("v", pa.list_(pa.float64())), ("copies", pa.int64()), ("shards", pa.list_(pa.int32()))])
+
+        @releasing
+        def assign(batches):
+            for batch in batches:
+                pdf = batch.to_pandas()
+                out = [_assigned(part, known.get((label, int(dim)))) for (label, dim), part in pdf.groupby(["label", "dim"])]
+                if out:
+                    yield pa.RecordBatch.from_pandas(pd.concat(out), schema=schema, preserve_index=False)
+
+        return classes.mapInArrow(assign, _PLACED)
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    salted = classes.join(counts, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(23)), parts).cast("int"))
+    spread = centres.join(counts, ["label", "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+    def meet(part: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({x.split()[0]: [] for x in _PLACED.split(", ")})
+        return _assigned(part, _matrix(c.sort_values("shard").centre) if len(c) else None)
+
+    key = ["label", "dim", "part"]
+    return salted.select(*key, "node", "v", "copies").groupBy(key).cogroup(spread.select(*key, "shard", "centre").groupBy(key)).applyInPandas(meet, _PLACED)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -196,28 +248,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neardup")
     classes = scratch.put(classes_of(vectors, id_col, vec_col, label_col), "classes")
-    centres = _centres(classes)
-
-    def assign(batches):
-        for batch in batches:
-            pdf = batch.to_pandas()
-            out = []
-            for (label, dim), part in pdf.groupby(["label", "dim"]):
-                c = centres[label, int(dim)]
-                sims = _unit(_matrix(part.v)) @ c.T
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :OVERLAP]
-                for rank in range(order.shape[1]):
-                    out.append(pd.DataFrame({"label": label, "dim": dim, "shard": order[:, rank], "home": rank == 0, "node": part.node, "v": part.v, "copies": part.copies}))
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.concat(out).astype({"shard": "int32", "dim": "int32"}), schema=placed_schema, preserve_index=False)
-
-    placed_schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("shard", pa.int32()), ("home", pa.bool_()), ("node", pa.int64()), ("v", pa.list_(pa.float64())), ("copies", pa.int64())])
-    placed = classes.mapInArrow(assign, "label string, dim int, shard int, home boolean, node long, v array<double>, copies long")
-    placed = scratch.put(placed, "placed")
+    placed = scratch.put(_placed(classes, scratch), "placed")
     # blocks of a shard: as many as keep each within its size
     sizes = placed.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = placed.join(sizes, ["label", "dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int"))
-    dealt = scratch.put(dealt.select("label", "dim", "shard", "block", "blocks", "home", "node", "v", "copies"), "dealt")
+    dealt = scratch.put(dealt.select("label", "dim", "shard", "block", "blocks", "home", "node", "v", "copies", "shards"), "dealt")
     key = ["label", "dim", "shard", "block"]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -228,36 +263,38 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     lists = dealt.select(*key, "node", "v").groupBy(key).applyInPandas(build, "node long, to array<long>")
     united = scratch.put(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to")), "lists")
-    members = scratch.put(dealt.join(united, "node").select(*key, F.lit(None).cast("int").alias("part"), "node", "v", "copies", "to"), "members")
+    members = scratch.put(dealt.join(united, "node").select(*key, "node", "v", "copies", F.col("shards")[0].alias("lives"), "to"), "members")
     # a block's graph meets the queries of its shard in batches
     batch = F.pmod(F.xxhash64("node", F.lit(19)), F.greatest(F.lit(1), F.ceil(F.col("blocks") * BLOCK / QUERIES))).cast("int")
     asked = dealt.where("home").withColumn("part", batch).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = scratch.put(asked.select(*key, "part", "node", "v"), "asked")
+    asked = scratch.put(asked.select(*key, "part", "node", "v", "copies", "shards"), "asked")
     parts = scratch.put(asked.select(*key, "part").distinct(), "parts")
-    given = members.drop("part").join(parts, key).select(*key, "part", "node", "v", "copies", "to")
+    given = members.join(parts, key).select(*key, "part", "node", "v", "copies", "lives", "to")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"node": [], "n": [], "root": []}).astype("int64")
         right = right.sort_values("node")
-        nodes, copies, x = right.node.to_numpy(), right.copies.to_numpy(), _unit(_matrix(right.v))
+        nodes, copies, lives, x = right.node.to_numpy(), right.copies.to_numpy(), right.lives.to_numpy(), _unit(_matrix(right.v))
         graph = []
         for e in right.to:
             at = np.minimum(np.searchsorted(nodes, e), len(nodes) - 1)
             graph.append(at[nodes[at] == e])
         start = medoids(x)
-        links, root = np.zeros(len(left), np.int64), {}
+        links, back, root = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64), {}
 
         def find(i):
             while root.setdefault(i, i) != i:
                 root[i] = i = root[root[i]]
             return i
 
-        asking = left.node.to_numpy()
+        asking, own_copies, shards = left.node.to_numpy(), left.copies.to_numpy(), left.shards.to_list()
         for i, v in enumerate(_unit(_matrix(left.v))):
             hit = range_search(v, x, graph, start, threshold)
             hit = hit[(x[hit] @ v >= threshold) & (nodes[hit] != asking[i])]
             links[i] = copies[hit].sum()
+            # whose home shard doesn't hold this one can't find it
+            back[hit[~np.isin(lives[hit], shards[i])]] += own_copies[i]
             for j in nodes[hit].tolist():
                 a, b = find(int(asking[i])), find(j)
                 if a != b:
@@ -265,7 +302,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         touched = sorted(root)
         own = pd.DataFrame({"node": asking, "n": links, "root": [find(int(k)) for k in asking]})
         other = pd.DataFrame({"node": touched, "n": 0, "root": [find(k) for k in touched]})
-        return pd.concat([own[own.n > 0], other[~other.node.isin(own.node)]]).astype("int64")
+        found_by = np.flatnonzero(back)
+        more = pd.DataFrame({"node": nodes[found_by], "n": back[found_by], "root": [find(int(k)) for k in nodes[found_by]]})
+        return pd.concat([own[own.n > 0], other[~other.node.isin(own.node)], more]).astype("int64")
 
     group = [*key, "part"]
     found = asked.groupBy(group).cogroup(given.groupBy(group)).applyInPandas(search, "node long, n long, root long")
@@ -282,24 +321,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     return out.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
-def audit(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, every: int = 50, most: int = 4000) -> float:
-    """Recall of links against brute force, for the rows whose id is divisible
-    by ``every`` (at most ``most`` of them) against all rows, in blocks."""
+def audit(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, every: int = 50, block: int = 4000) -> tuple[float, int]:
+    """Recall of links against brute force, and how many ends of links that is of:
+    of all rows whose id is divisible by ``every`` against all rows, in blocks of
+    about ``block`` of the former."""
     good, v = _comparable(vec_col, label_col)
     rows = vectors.where(good).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
-    asked = rows.where(F.col("id") % every == 0).orderBy("id").limit(most).toPandas()
-
-    def run(batches):
-        total: dict[int, int] = {}
-        for pdf in batches:
-            for (label, dim), part in pdf.groupby(["label", pdf.v.map(len)]):
-                q = asked[(asked.label == label) & (asked.v.map(len) == dim)]
-                if len(q):
-                    n = ((_unit(_matrix(q.v)) @ _unit(_matrix(part.v)).T) >= threshold).sum(axis=1)
-                    for i, c in zip(q.id, n):
-                        total[i] = total.get(i, 0) + int(c)
-        yield pd.DataFrame({"id": list(total), "n": list(total.values())}).astype("int64")
-
-    true = rows.mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    both = true.join(result, true.id == result[id_col]).agg(F.sum(F.col("n") - 1), F.sum("n_links")).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+    chosen = rows.where(F.col("id") % every == 0)
+    blocks, true, got = -(-chosen.count() // block), 0, 0
+    for k in range(blocks):
+        asked = chosen.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toPandas()
+
+        def run(batches, asked=asked):
+            total: dict[int, int] = {}
+            for pdf in batches:
+                for (label, dim), part in pdf.groupby(["label", pdf.v.map(len)]):
+                    q = asked[(asked.label == label) & (asked.v.map(len) == dim)]
+                    if len(q):
+                        n = ((_unit(_matrix(q.v)) @ _unit(_matrix(part.v)).T) >= threshold).sum(axis=1)
+                        for i, c in zip(q.id, n):
+                            total[i] = total.get(i, 0) + int(c)
+            yield pd.DataFrame({"id": list(total), "n": list(total.values())}).astype("int64")
+
+        links = rows.mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        both = links.join(result, links.id == result[id_col]).agg(F.sum(F.col("n") - 1), F.sum(F.least(F.col("n") - 1, F.col("n_links")))).first()
+        true, got = true + (both[0] or 0), got + (both[1] or 0)
+    return (got / true if true else 1.0), int(true)
