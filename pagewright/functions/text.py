@@ -110,7 +110,7 @@ def fix_structure(c: Column) -> Column:
 
 def clean_artifacts(c: Column) -> Column:
     """An answer without formatting artifacts (this also deletes "rn" inside words)."""
-    steps = [(r"\r\n|\r", "\n"), (r"\n{2,}", "\n\n"), (r"[ \t]+", " "), (r"\.{2,}", ". "), (r'"{2,}', '"'), (r"'{2,}", "'"), (r"\.s\.", "."), (r"\bn\s", " "), ("rn", ""), (r"(\d+)\)\s*", "$1. ")]
+    steps = [(r"\r\n|\r", "\n"), (r"\n{2,}", "\n\n"), (r"[ \t]+", " "), (r"\.{2,}", ". "), (r'"{2,}', '"'), (r"'{2,}", "'"), (r"\.s\.", "."), (r"(?<![\p{L}\p{N}_])n\s", " "), ("rn", ""), (r"(\d+)\)\s*", "$1. ")]
     return strip(replaced(c, *steps))
 
 

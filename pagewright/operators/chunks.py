@@ -68,13 +68,18 @@ def chunk_documents(docs: DataFrame, url: Column, text: Column) -> DataFrame:
 
 
 def entities(c: Column) -> Column:
-    """array<struct<text, label, start, end>>: all matches, pattern by pattern."""
+    """array<struct<text, label, start, end>>: all matches, pattern by pattern.
+
+    Starts are one fold over the gaps between matches."""
 
     def of(pattern, label):
         pattern = "(?U)" + pattern
         found, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
-        before = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda n, m: n + F.length(m))
-        return F.transform(found, lambda m, i: F.struct(m.alias("text"), F.lit(label).alias("label"), before(i).alias("start"), (before(i) + F.length(m)).alias("end")))
+        sizes = F.zip_with(F.transform(found, lambda m: F.length(m)), F.transform(gaps, lambda g: F.length(g)), lambda m, g: F.struct(F.coalesce(m, F.lit(0)).alias("m"), g.alias("g")))
+        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(sizes, state, lambda s, x: F.struct((s["at"] + x["g"] + x["m"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["g"])).alias("starts")), lambda s: s["starts"])
+        told = F.zip_with(found, starts, lambda m, at: F.struct(m.alias("text"), F.lit(label).alias("label"), at.alias("start"), (at + F.length(m)).alias("end")))
+        return F.filter(told, lambda e: e["text"].isNotNull())
 
     return F.concat(*[of(p, label) for p, label in L.ENTITY_PATTERNS])
 
@@ -120,3 +125,14 @@ def semantic_units(c: Column, n: int = 4, short: int = 50) -> Column:
     empty = F.array().cast("array<string>")
     merged = F.aggregate(paras, empty, lambda acc, p: F.when((F.size(acc) > 0) & (F.length(p) < short), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), p)))).otherwise(F.concat(acc, F.array(p))))
     return F.when(F.contains(c, F.lit("\n\n")), merged).otherwise(T.groups_of(T.sentences(c), n))
+
+
+def summaries(documents: DataFrame) -> DataFrame:
+    """(url, length, chunks, topics): numbers of each document (url, text, chunks,
+    topics array), and its first five topics."""
+    return documents.select("url", F.length("text").cast("long").alias("length"), F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), F.array_join(F.slice(F.coalesce("topics", F.array().cast("array<string>")), 1, 5), "|").alias("topics"))
+
+
+def embedding_input(title: Column, text: Column, most: int = 1000) -> Column:
+    """What a document's vector is made from: its title and the start of its text."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.left(text, F.lit(most)))

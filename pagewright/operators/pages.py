@@ -7,7 +7,7 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
@@ -144,13 +144,17 @@ def robots_rules(lines: DataFrame) -> DataFrame:
     return ours.where("name = 'disallow' AND value <> ''").select(F.col("value").alias("prefix")).distinct().crossJoin(F.broadcast(delay))
 
 
-def seeds(spark: SparkSession, base_url: str, priority_paths: list[str] = L.PRIORITY_PATHS) -> DataFrame:
-    """(pos, url): where a crawl of a site begins, without repeats."""
-    base = base_url.rstrip("/")
-    scheme, rest = base.split("://", 1)
-    other = rest[4:] if rest.startswith("www.") else "www." + rest
-    urls = [base, *(base + p for p in priority_paths), *(base + p for p in L.SEED_PATHS), f"{scheme}://{other}", f"{'http' if scheme == 'https' else 'https'}://{rest}"]
-    return spark.createDataFrame([(i, u) for i, u in enumerate(dict.fromkeys(urls))], "pos long, url string")
+def seeds(sites: DataFrame, url: str = "url", priority_paths: list[str] = L.PRIORITY_PATHS) -> DataFrame:
+    """(url, pos, seed): where a crawl of each site begins, without repeats: its
+    URL, the priority and common paths of its host, the host with or without
+    "www.", and https for a site that came by http."""
+    u = F.col(url)
+    scheme, host, path = T.url_scheme(u), F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), T.url_path(u)
+    root = F.concat(scheme, F.lit("://"), host)
+    other = F.when(F.startswith(host, F.lit("www.")), F.substr(host, F.lit(5))).otherwise(F.concat(F.lit("www."), host))
+    paths = [F.concat(root, F.lit(p)) for p in [*priority_paths, *L.SEED_PATHS]]
+    every = F.array_compact(F.array(u, *paths, F.concat(scheme, F.lit("://"), other, path), F.when(scheme == "http", F.concat(F.lit("https://"), host, path))))
+    return sites.select(u.alias("url"), F.posexplode(F.array_distinct(every)).alias("pos", "seed"))
 
 
 def prioritized(urls: DataFrame) -> DataFrame:

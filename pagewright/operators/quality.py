@@ -85,14 +85,50 @@ def without_redundant(blocks: DataFrame, group: str, threshold: float = 0.7) ->
     return per.select(group, F.explode(kept).alias("k")).select(group, F.col("k.pos").alias("pos"), F.col("k.t").alias("text"), (-F.col("k.q")).alias("score"))
 
 
-def context_blocks(blocks: DataFrame, group: str, url: str, budget: int = 4000) -> DataFrame:
-    """Blocks for a context: the first of each document, then the others by score
-    less 5% for each earlier block of their document, while the length lasts."""
-    nth = F.row_number().over(Window.partitionBy(group, url).orderBy(F.desc("score"), "pos")) - 1
-    b = blocks.withColumn("nth", nth).withColumn("adjusted", F.col("score") * F.pow(F.lit(0.95), F.col("nth")))
-    order = Window.partitionBy(group).orderBy((F.col("nth") > 0).cast("int"), F.desc("adjusted"), "pos")
-    used = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return b.withColumn("used", used).where(F.col("used") <= budget).drop("used", "nth")
+def context_blocks(blocks: DataFrame, group: str, url: str, budget: int = 1500) -> DataFrame:
+    """(group, pick, pos, url, text) of blocks for a context of ``budget``
+    characters; all, in their order, if they fit.
+
+    Else the best block of each document, documents in order of appearance, where
+    it fits; then the others by score, less 5 % where their document has one
+    already, up to the first that doesn't fit; of that one its whole sentences, if
+    over 200 characters are left and over 100 come of it. A group is a question's hits."""
+    item = F.struct("pos", F.col(url).alias("url"), F.col("score").cast("double").alias("score"), F.col("text").alias("text"))
+    per = blocks.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"), F.sum(F.length("text")).alias("total"))
+    first = lambda u: F.array_sort(F.filter("items", lambda x: x["url"] == u), lambda x, y: F.when(x["score"] != y["score"], F.signum(y["score"] - x["score"]).cast("int")).otherwise(F.signum(x["pos"] - y["pos"]).cast("int")))[0]
+    per = per.withColumn("best", F.transform(F.array_distinct(F.transform("items", lambda x: x["url"])), first))
+    none = F.slice("items", 1, 0)
+    state = F.struct(F.lit(0).alias("len"), none.alias("out"))
+    fits = lambda s, x: s["len"] + F.length(x["text"]) <= budget
+    add = lambda s, x, when: F.struct(F.when(when, s["len"] + F.length(x["text"])).otherwise(s["len"]).alias("len"), F.when(when, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"))
+    per = per.withColumn("one", F.aggregate("best", state, lambda s, x: add(s, x, fits(s, x))))
+    has = lambda x: F.exists("one.out", lambda y: y["url"] == x["url"])
+    rest = F.filter("items", lambda x: ~F.exists("one.out", lambda y: y["pos"] == x["pos"]))
+    keyed = F.transform(rest, lambda x: F.struct((-x["score"] * F.when(has(x), 0.95).otherwise(1.0)).alias("a"), (-x["score"]).alias("b"), x["pos"].alias("p"), x.alias("x")))
+    per = per.withColumn("rest", F.transform(F.array_sort(keyed), lambda k: k["x"]))
+    start = F.struct(F.col("one.len").alias("len"), F.col("one.out").alias("out"), F.lit(True).alias("open"))
+
+    def step(s, x):
+        left = F.lit(budget) - s["len"]
+        cut = F.concat(F.regexp_replace(F.left(x["text"], left), r"\.[^.]*$", ""), F.lit("."))
+        part = F.struct(x["pos"].alias("pos"), x["url"].alias("url"), x["score"].alias("score"), cut.alias("text"))
+        both = add(s, x, s["open"] & fits(s, x))
+        late = s["open"] & ~fits(s, x) & (left > 200) & (F.length(cut) > 100)
+        return F.struct(both["len"].alias("len"), F.when(late, F.concat(s["out"], F.array(part))).otherwise(both["out"]).alias("out"), (s["open"] & fits(s, x)).alias("open"))
+
+    chosen = F.when(F.col("total") <= budget, F.col("items")).otherwise(F.aggregate("rest", start, step, lambda s: s["out"]))
+    out = per.select(group, F.posexplode(chosen).alias("pick", "b"))
+    return out.select(group, F.col("pick").cast("long").alias("pick"), F.col("b.pos").alias("pos"), F.col("b.url").alias(url), F.col("b.text").alias("text"))
+
+
+def assembled_context(blocks: DataFrame, group: str, url: str, order: str = "pos") -> DataFrame:
+    """(group, context): a group's blocks by document, in order of appearance and
+    there by ``order``, each document named if there are several."""
+    per = blocks.groupBy(group, url).agg(F.min("pick").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), " ").alias("text"))
+    name = F.split_part(F.regexp_replace(F.col(url), "https?://", ""), F.lit("/"), F.lit(1))
+    docs = per.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("first", name.alias("name"), "text"))).alias("d"))
+    named = F.transform("d", lambda x: F.concat(F.lit("[From: "), x["name"], F.lit("] "), x["text"]))
+    return docs.select(group, F.when(F.size("d") > 1, F.array_join(named, "\n\n")).otherwise(F.get("d", F.lit(0))["text"]).alias("context"))
 
 
 def conversation_pairs(turns: DataFrame) -> DataFrame:
@@ -105,7 +141,7 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     rest = pairs.select("conv_id", "turn").join(turns.select("conv_id", F.col("turn").alias("t"), "text"), "conv_id").where("t <> turn and t <> turn + 1")
     ctx = rest.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t", "text"))), lambda x: x["text"]), " ").alias("context"), F.count("*").alias("n_context"))
     out = pairs.join(ctx, ["conv_id", "turn"], "left")
-    return out.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "conv_id", "turn", "question", "answer", F.concat(F.lit("conv://"), F.col("conv_id").cast("string")).alias("source_url"), "context", F.coalesce("n_context", F.lit(0)).alias("n_context"))
+    return out.select((F.col("conv_id") * F.lit(1 << 31) + F.col("turn")).alias("pos"), "conv_id", "turn", "question", "answer", F.concat(F.lit("conv://"), F.col("conv_id").cast("string")).alias("source_url"), "context", F.coalesce("n_context", F.lit(0)).alias("n_context"))
 
 
 def answered(hits: DataFrame, answer: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import lists as L
 from ..functions import scores as S
 from ..functions import text as T
 
@@ -89,25 +90,106 @@ def capped(questions: DataFrame, url: str, most: int = 10, topic: str | None = N
     return q.withColumn("rank", r.cast("long")).where(F.col("rank") <= most)
 
 
-# Questions asked of a site when it gave too few.
-KEYWORDS = ["academic", "advising", "campus", "career", "counseling", "course", "degree", "financial aid", "health", "housing", "library", "program", "scholarship", "service", "student", "support", "tutoring", "wellness"]
-
-
-def adaptive_questions(texts: DataFrame, url: str, text: str, most: int = 3) -> DataFrame:
-    """(url, pos, text, quality_score) for keywords that a URL's text has, in
-    alphabetical order."""
-    found = F.slice(F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.lower(text), k)), 1, most)
-    out = texts.select(url, F.posexplode(found).alias("pos", "k"))
-    return out.select(url, F.col("pos").cast("long").alias("pos"), F.format_string("What information is available about %s?", F.initcap("k")).alias("text"), F.lit(0.65).alias("quality_score"))
-
+def adaptive_questions(chunks: DataFrame, site: str, url: str, text: str, order: str, keywords: list[str] = L.ADAPTIVE_KEYWORDS, most: int = 3) -> DataFrame:
+    """(site, pos, text, topic, topic_type, source, quality_score, source_url):
+    questions for a site that gave too few: three fixed ones, and one for each of
+    the first ``most`` keywords, in alphabetical order, that its chunks have;
+    without near-repeats, which leaves little of the latter. The source is the
+    site's first URL by ``order``.
+
+    A keyword has no blank, so it lies in one chunk; which ones a site has is a
+    partial aggregate, and no text moves."""
+    names = sorted(keywords)
+    has = [F.bool_or(F.contains(F.lower(F.col(text)), F.lit(k))).alias(f"k{i}") for i, k in enumerate(names)]
+    per = chunks.groupBy(site).agg(F.min_by(url, order).alias("source_url"), *has)
+    found = F.slice(F.array_compact(F.array(*[F.when(F.col(f"k{i}"), F.lit(k)) for i, k in enumerate(names)])), 1, most)
+    fixed = F.array(*[F.struct(F.lit(q).alias("text"), F.lit(t).alias("topic"), F.lit(k).alias("topic_type"), F.lit("adaptive_fallback").alias("source"), F.lit(0.6).alias("quality_score")) for q, t, k in L.FALLBACK_QUESTIONS])
+    asked = F.transform(found, lambda k: F.struct(F.format_string(L.ADAPTIVE_QUESTION, k).alias("text"), F.initcap(k).alias("topic"), F.lit("KEYWORD").alias("topic_type"), F.lit("adaptive_keyword").alias("source"), F.lit(0.65).alias("quality_score")))
+    every = per.select(site, "source_url", F.posexplode(F.concat(fixed, asked)).alias("pos", "q")).select(site, "source_url", F.col("pos").cast("long").alias("pos"), "q.*")
+    kept = without_repeats(every, site).select(F.col(site).alias("_site"), F.col("kept_pos").alias("pos"))
+    return every.join(kept, every[site].eqNullSafe(kept["_site"]) & (every["pos"] == kept["pos"])).select(every["*"])
+
+
+def topic_prompts(contents: DataFrame) -> DataFrame:
+    """(doc_url, topic, pos, prompt): what a question model is asked about a topic,
+    from (doc_url, topic, topic_type, content)."""
+    tail = F.concat(F.lit("\n\nContent: "), F.col("content"), F.lit("\n\nQuestion:"))
+    simple = lambda p: F.concat(F.format_string(p, "topic"), tail)
+    by_type = [F.when(F.col("topic_type") == t, simple(p)) for t, ps in L.TYPE_PROMPTS.items() for p in ps]
+    steps = F.concat(
+        F.format_string("Based on this content, create a thoughtful question about %s:", "topic"),
+        F.lit("\n\nContent: "), F.col("content"),
+        F.format_string("\n\nStep 1: Identify the most important information about %s.\nStep 2: Consider what students would want to know about %s.\nStep 3: Formulate a clear, specific question.\nQuestion:", "topic", "topic"),
+    )
+    by_word = [F.when(T.any_of(F.lower("content"), ws), simple(p)) for ws, p in L.WORD_PROMPTS]
+    some = contents.where(F.coalesce("content", F.lit("")) != "")
+    return some.select("doc_url", "topic", F.posexplode(F.array_compact(F.array(simple(L.TOPIC_PROMPT), *by_type, steps, *by_word))).alias("pos", "prompt"))
+
+
+def general_prompts(chunks: DataFrame) -> DataFrame:
+    """(doc_url, pos, prompt): what a question model is asked about a whole document."""
+    s = summary_context(chunks)
+    parts = [F.col("head"), F.col("rest"), F.col("head"), F.col("rest")]
+    asks = F.array(*[F.concat(F.lit(p + "\n\nContent: "), c, F.lit("\n\nQuestion:")) for p, c in zip(L.GENERAL_PROMPTS, parts)])
+    return s.select("doc_url", F.posexplode(asks).alias("pos", "prompt"))
+
+
+def topic_questions(topics: DataFrame, chunks: DataFrame, most: int = 3, model: DataFrame | None = None) -> DataFrame:
+    """(doc_url, topic, pos, text, quality_score): a topic's questions, a model's
+    first (doc_url, topic, pos, text), if there are any, and where these are fewer
+    than ``most`` those by rule; without near-repeats, all with a question mark."""
+    ruled = rule_questions(topics, chunks).withColumn("pos", F.col("pos") + 1000)
+    if model is not None:
+        model = model.select("doc_url", "topic", F.col("pos").cast("long").alias("pos"), T.clean_question(F.col("text")).alias("text"), F.lit(0.8).alias("quality_score")).where("text <> ''")
+        enough = model.groupBy("doc_url", "topic").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+        ruled = model.unionByName(ruled.join(enough, ["doc_url", "topic"], "left_anti"))
+    q = ruled.withColumn("_key", F.struct("doc_url", "topic"))
+    kept = without_repeats(q, "_key").select(F.col("_key.doc_url").alias("doc_url"), F.col("_key.topic").alias("topic"), F.col("kept_pos").alias("pos"))
+    out = q.drop("_key").join(kept, ["doc_url", "topic", "pos"])
+    r = F.row_number().over(Window.partitionBy("doc_url", "topic").orderBy(F.desc("quality_score"), "pos"))
+    asked = F.when(F.endswith("text", F.lit("?")), F.col("text")).otherwise(F.concat("text", F.lit("?")))
+    return out.withColumn("r", r).where(F.col("r") <= most).select("doc_url", "topic", F.col("r").cast("long").alias("pos"), asked.alias("text"), "quality_score")
+
+
+def document_questions(topics: DataFrame, chunks: DataFrame, most: int = 10, general: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
+    """(doc_url, pos, text, topic, topic_type, quality_score): all questions of the
+    documents: at most max(2, most / topics) a topic, then a model's general ones
+    (doc_url, pos, text) if there are any, at most four; at most ``most`` a document, the best first."""
+    n = topics.groupBy("doc_url").agg(F.count("*").alias("n_topics"))
+    q = topic_questions(topics, chunks, most, model).join(n, "doc_url").where(F.col("pos") <= F.greatest(F.lit(2), F.floor(F.lit(most) / F.col("n_topics")))).drop("n_topics")
+    q = q.join(topics.select("doc_url", "topic", "topic_type"), ["doc_url", "topic"]).select("doc_url", "topic", "topic_type", "pos", "text", "quality_score", F.lit(0).alias("kind"))
+    if general is not None:
+        said = general.select("doc_url", F.col("pos").cast("long").alias("pos"), T.clean_question(F.col("text")).alias("text"), F.lit(0.8).alias("quality_score")).where("text <> ''")
+        kept = without_repeats(said, "doc_url").select("doc_url", F.col("kept_pos").alias("pos"))
+        said = said.join(kept, ["doc_url", "pos"]).withColumn("r", F.row_number().over(Window.partitionBy("doc_url").orderBy("pos"))).where("r <= 4")
+        q = q.unionByName(said.select("doc_url", F.lit("General").alias("topic"), F.lit("GENERAL").alias("topic_type"), "pos", "text", "quality_score", F.lit(1).alias("kind")))
+    r = F.row_number().over(Window.partitionBy("doc_url").orderBy(F.desc("quality_score"), "kind", "topic", "pos"))
+    return q.withColumn("r", r).where(F.col("r") <= most).select("doc_url", F.col("r").cast("long").alias("pos"), "text", "topic", "topic_type", "quality_score")
+
+
+def length_score(c: Column) -> Column:
+    """How good an answer's length is: rising to 50 characters, best up to 200, then falling to a half."""
+    n = F.length(c)
+    return F.when(n < 20, n / 20.0).when(n < 50, F.lit(0.5) + (n - 20) / 60.0).when(n <= 200, 1.0).otherwise(F.greatest(F.lit(0.5), F.lit(1.0) - (n - 200) / 800.0))
+
+
+def selected_answer(candidates: Column, context: Column) -> Column:
+    """Of candidate answers the first best by length (0.3) and by the share of their
+    pairs of words that the context has (0.7); none gives the empty text."""
+
+    def score(a, theirs):
+        mine = T.ngrams(T.words(F.lower(a)), 2)
+        return F.lit(0.3) * length_score(a) + F.lit(0.7) * F.coalesce(F.try_divide(F.size(F.array_intersect(mine, theirs)), F.size(mine)), F.lit(0.0))
 
-def selected_answer(question: Column, candidates: Column, context: Column) -> Column:
-    """Of candidate answers the best by length (0.3) and words shared with the context (0.7)."""
-    theirs = T.ngrams(T.words(F.lower(context)), 2)
+    marks = T.let(T.ngrams(T.words(F.lower(context)), 2), lambda theirs: F.transform(candidates, lambda a: score(a, theirs)))
+    best = T.let(marks, lambda m: F.get(candidates, (F.array_position(m, F.array_max(m)) - 1).cast("int")))
+    return F.when(F.size(candidates) == 0, F.lit("")).when(F.size(candidates) == 1, F.get(candidates, F.lit(0))).otherwise(best)
 
-    def score(a):
-        mine = T.ngrams(T.words(F.lower(a)), 2)
-        return F.lit(0.3) * F.least(F.lit(1.0), T.n_words(a) / 100) + F.lit(0.7) * F.coalesce(F.try_divide(F.size(F.array_intersect(mine, theirs)), F.size(mine)), F.lit(0.0))
 
-    marks = F.transform(candidates, score)
-    return F.get(candidates, (F.array_position(marks, F.array_max(marks)) - 1).cast("int"))
+def substantive_answer(candidates: Column) -> Column:
+    """The longest candidate that doesn't only decline, ten characters less for each
+    time it does in part; the first if all only decline. The first of equals."""
+    real = F.filter(candidates, lambda c: ~T.is_disclaimer(c))
+    marks = F.transform(real, lambda c: F.length(c) - F.regexp_count(c, F.lit("I don't have")) * 10)
+    best = F.get(real, (F.array_position(marks, F.array_max(marks)) - 1).cast("int"))
+    return F.when(F.size(real) > 0, best).otherwise(F.get(candidates, F.lit(0)))

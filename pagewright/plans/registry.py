@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import lists as L
 from ..functions import scores as S
@@ -15,6 +16,7 @@ from ..operators import pages as P
 from ..operators import quality as Q
 from ..operators import questions as G
 from ..operators import retrieve as R
+from ..sources import io
 from ..sources.io import table
 from ..streaming.ingest import distinct_events
 from . import oracles
@@ -145,7 +147,7 @@ def chunk_pack(s, d):
 
 @query
 def chunk_documents(s, d):
-    return _chunks(s, d)
+    return _chunks(s, d).drop("chunk_id")
 
 
 @query
@@ -172,7 +174,7 @@ def inverted_index(s, d):
 @query
 def kb_stats(s, d):
     docs = _docs(s, d)
-    return R.kb_stats(docs, table(s, d, "conversations"), table(s, d, "embeddings"), R.postings(docs, "doc_id", F.col("text")))
+    return R.kb_stats(docs, _chunks(s, d), table(s, d, "embeddings"), R.postings(docs, "doc_id", F.col("text")))
 
 
 @query
@@ -321,7 +323,150 @@ def clean_question(s, d):
 def candidate_select(s, d):
     p = _pairs(s, d)
     some = F.array(F.col("answer"), F.substring_index("answer", ".", 2), F.col("question"))
-    return p.select("pos", G.selected_answer(F.col("question"), some, F.coalesce("context", F.lit(""))).alias("answer"))
+    return p.select("pos", G.selected_answer(some, F.coalesce("context", F.lit(""))).alias("answer"))
+
+
+@query
+def substantive_answer(s, d):
+    p = _pairs(s, d)
+    some = F.array(F.substring_index("answer", ".", 1), F.lit(L.DECLINED), F.col("answer"), F.col("question"))
+    return p.select("pos", G.substantive_answer(some).alias("answer"))
+
+
+@query
+def adaptive_questions(s, d):
+    chunks = _docs(s, d).withColumn("url", F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")))
+    q = G.adaptive_questions(chunks.withColumnRenamed("source", "site"), "site", "url", "text", "doc_id", L.FIXTURE_KEYWORDS)
+    return q.select(F.col("source_url"), "pos", "text", "topic", "topic_type", "quality_score")
+
+
+@query
+def topic_prompts(s, d):
+    c = G.topic_content(_topics(s, d), _chunks(s, d)).join(_topics(s, d), ["doc_url", "topic"])
+    return G.topic_prompts(c)
+
+
+@query
+def general_prompts(s, d):
+    return G.general_prompts(_chunks(s, d))
+
+
+@query
+def document_questions(s, d):
+    return G.document_questions(_topics(s, d), _chunks(s, d))
+
+
+@query
+def seed_urls(s, d):
+    return P.seeds(_pages(s, d))
+
+
+@query
+def url_priority_order(s, d):
+    p = P.prioritized(_pages(s, d).select("url", F.col("page_id").alias("pos")))
+    by = Window.partitionBy(T.url_host(F.col("url"))).orderBy(F.desc("priority"), "pos")
+    return p.select(F.col("pos").alias("page_id"), F.round("priority", 6).alias("priority"), F.row_number().over(by).cast("long").alias("rank"))
+
+
+@query
+def retrieve_context(s, d):
+    own = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    return R.retrieved(table(s, d, "benchmark"), _docs(s, d), "item_id", F.col("text"), own, "doc_id", F.col("text"), F.col("source"))
+
+
+@query
+def context_blocks(s, d):
+    h = _with_texts(s, d, _hits(s, d, 10)).withColumn("pos", F.col("rank")).withColumn("text", F.left("text", F.lit(700)))
+    return Q.context_blocks(h, "query_id", "source")
+
+
+@query
+def assembled_context(s, d):
+    h = _with_texts(s, d, _hits(s, d, 10)).select("query_id", "source", "text", F.col("rank").alias("pos"), F.col("rank").alias("pick"))
+    return Q.assembled_context(h, "query_id", "source")
+
+
+@query
+def document_summary(s, d):
+    docs, chunks = _docs(s, d).withColumn("url", F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string"))), _chunks(s, d)
+    n = chunks.groupBy(F.col("doc_url").alias("url")).agg(F.count("*").alias("chunks"))
+    topics = _topics(s, d).select(F.col("doc_url").alias("url"), F.array("topic").alias("topics"))
+    return C.summaries(docs.join(n, "url", "left").join(topics, "url", "left"))
+
+
+@query
+def embedding_input(s, d):
+    p = _pages(s, d).withColumn("t", P.main_text(F.col("html")))
+    return p.select("page_id", C.embedding_input(T.title_of(F.col("t")), F.col("t")).alias("text"))
+
+
+@query
+def quality_lookup(s, d):
+    pages = _pages(s, d).select("page_id", "url")
+    known = pages.where("page_id % 3 <> 0").select("url", F.lit(0.7).alias("quality"))
+    return R.with_quality(pages, known)
+
+
+@query
+def search_index(s, d):
+    v = table(s, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 7 != 0, F.col("embedding")))
+    i = R.search_index(v)
+    return i.select("vec_id", F.round(F.element_at("embedding", 1), 6).alias("x1"), F.round(S.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
+
+
+@query
+def csv_lines(s, d):
+    e = _evaluated(s, d).select("question", "answer", "source_url", F.lit("t").alias("topic"), F.lit("GENERAL").alias("topic_type"), F.struct(F.col("overall")).alias("scores"))
+    return io.csv_lines(e)
+
+
+@query
+def markdown_sections(s, d):
+    e = _evaluated(s, d).select("pos", "question", "answer", "source_url", F.lit("t").alias("topic"), F.lit("GENERAL").alias("topic_type"), F.struct(F.col("overall")).alias("scores"))
+    return io.markdown(e)
+
+
+@query
+def context_clean(s, d):
+    return _docs(s, d).select("doc_id", T.clean_chunk(F.col("text")).alias("text"))
+
+
+@query
+def answer_artifacts(s, d):
+    return _docs(s, d).select("doc_id", T.clean_artifacts(F.col("text")).alias("text"))
+
+
+@query
+def answer_ending(s, d):
+    return _docs(s, d).select("doc_id", T.fix_ending(F.rtrim(F.regexp_replace("text", r"[.!?\s]+$", ""))).alias("text"))
+
+
+@query
+def capital_phrases(s, d):
+    return _docs(s, d).select("doc_id", F.posexplode(C.capital_phrases(F.col("text"))).alias("pos", "phrase"))
+
+
+@query
+def semantic_units(s, d):
+    return _docs(s, d).select("doc_id", F.posexplode(C.semantic_units(F.col("text"))).alias("pos", "unit"))
+
+
+@query
+def summary_context(s, d):
+    return G.summary_context(_chunks(s, d))
+
+
+@query
+def bigram_similarity(s, d):
+    return _pairs(s, d).select("pos", F.round(S.bigram_similarity(F.col("question"), F.col("answer")), 6).alias("similarity"))
+
+
+@query
+def question_similarity(s, d):
+    t = table(s, d, "conversations").where("role = 'user'")
+    a, b = (t.select("conv_id", F.col("turn").alias(f"{k}_turn"), F.col("text").alias(k)) for k in "ab")
+    both = a.join(b, "conv_id").where("a_turn < b_turn")
+    return both.select("conv_id", "a_turn", "b_turn", S.questions_similar(F.col("a"), F.col("b")).alias("similar"))
 
 
 @query

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import lists as L
 from ..functions import text as T
 
 
@@ -54,6 +55,13 @@ def valid_crawl(content: DataFrame) -> DataFrame:
     return content.where(T.is_valid_content(F.col("text")))
 
 
+def validate_crawl(spark: SparkSession, path: str, to: str) -> None:
+    """Write a crawl checkpoint again without pages that don't count as valid any
+    more; scores go with their pages, the frontier stays."""
+    content, frontier = load_crawl(spark, path)
+    save_crawl(valid_crawl(content), frontier, to)
+
+
 def merged_crawl(first: DataFrame, other: DataFrame) -> DataFrame:
     """Pages of two crawls of one site; the second's win, if it found more."""
     more = other.agg(F.count("*").alias("m")).crossJoin(first.agg(F.count("*").alias("n"))).where("m > n").select(F.lit(1).alias("_more"))
@@ -102,8 +110,6 @@ def csv_lines(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.concat_ws(",", *cols, F.col("scores.overall").cast("string")).alias("value"))
 
 
-CSV_HEADER = "Question,Answer,Source URL,Topic,Topic Type,Overall Score"
-
 
 def save_csv(pairs: DataFrame, path: str) -> None:
     """CSV files with a header each."""
@@ -112,12 +118,13 @@ def save_csv(pairs: DataFrame, path: str) -> None:
 
 
 def markdown(pairs: DataFrame) -> DataFrame:
-    """(source_url, value): a Markdown section for each URL, items numbered by ``pos``."""
+    """(group_pos, source_url, value): a Markdown section for each URL, in order of
+    its first pair; items numbered by ``pos``."""
     n = F.row_number().over(Window.partitionBy("source_url").orderBy("pos"))
-    item = F.format_string("### %d. %s\n\n%s\n\n*Score: %.2f*\n", n, F.col("question"), F.col("answer"), F.col("scores.overall"))
-    told = pairs.select("source_url", "pos", item.alias("item"))
-    per = told.groupBy("source_url").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), "\n").alias("items"))
-    return per.select("source_url", F.concat(F.lit("## "), F.col("source_url"), F.lit("\n\n"), F.col("items")).alias("value"))
+    item = F.format_string("### Q%d: %s\n\n%s\n\n*Topic: %s | Type: %s | Score: %.2f*\n\n---\n\n", n, F.col("question"), F.col("answer"), F.coalesce("topic", F.lit("N/A")), F.coalesce("topic_type", F.lit("N/A")), F.coalesce("scores.overall", F.lit(0.0)))
+    told = pairs.select(F.coalesce("source_url", F.lit("Unknown")).alias("source_url"), "pos", item.alias("item"))
+    per = told.groupBy("source_url").agg(F.min("pos").alias("group_pos"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), "").alias("items"))
+    return per.select("group_pos", "source_url", F.concat(F.lit("## "), F.col("source_url"), F.lit("\n\n"), F.col("items")).alias("value"))
 
 
 def save_text(lines: DataFrame, path: str) -> None:
@@ -130,12 +137,10 @@ def save_metrics(metrics: DataFrame, path: str) -> None:
 
 # --- progress -------------------------------------------------------------------------
 
-STAGES = ("resources_setup", "crawling", "processing", "qa_generation", "evaluation", "output")
-
 
 def save_progress(spark: SparkSession, path: str, base_url: str, done: dict[str, bool]) -> None:
     """A small manifest through Spark's writer, so any store will do."""
-    row = {"base_url": base_url, "progress": {s: bool(done.get(s)) for s in STAGES}, "timestamp": datetime.now(timezone.utc).isoformat()}
+    row = {"base_url": base_url, "progress": {s: bool(done.get(s)) for s in L.STAGES}, "timestamp": datetime.now(timezone.utc).isoformat()}
     spark.createDataFrame([(json.dumps(row),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
