@@ -82,13 +82,33 @@ def question_terms(q: Column) -> Column:
     return F.array_except(F.array_distinct(T.words(F.lower(q))), F.array(*map(F.lit, L.STOP_WORDS)))
 
 
-def relevance(q: Column, a: Column) -> Column:
-    """Share of the question's terms that the answer has."""
-    return T.let(question_terms(q), lambda terms: F.least(F.lit(1.0), T.matching_terms(terms, F.lower(a)) / F.greatest(F.lit(1), F.size(terms))))
+def sigmoid(x: Column) -> Column:
+    """The logistic function, without overflow at either end."""
+    return F.when(x >= 0, F.lit(1.0) / (F.lit(1.0) + F.exp(-x))).otherwise(F.exp(x) / (F.lit(1.0) + F.exp(x)))
 
 
-def factuality(a: Column, context: Column) -> Column:
-    """By the answer's pairs of words that the context has; 0.5 without context."""
+def softmax(xs: Column) -> Column:
+    """Probabilities from an array of scores."""
+
+    def of(v, most):
+        e = F.transform(v, lambda x: F.exp(x - most))
+        return T.let(e, lambda y: T.let(F.aggregate(y, F.lit(0.0), lambda s, x: s + x), lambda n: F.transform(y, lambda x: x / n)))
+
+    return T.let(F.transform(xs, lambda x: x.cast("double")), lambda v: T.let(F.array_max(v), lambda most: of(v, most)))
+
+
+def relevance(q: Column, a: Column, model: Column | None = None) -> Column:
+    """Share of the question's terms that the answer has; 0.3 of that and 0.7 of a
+    model's probability if there is one."""
+    said = T.let(question_terms(q), lambda terms: F.least(F.lit(1.0), T.matching_terms(terms, F.lower(a)) / F.greatest(F.lit(1), F.size(terms))))
+    return said if model is None else F.lit(0.7) * model + F.lit(0.3) * said
+
+
+def factuality(a: Column, context: Column, model: Column | None = None) -> Column:
+    """By the answer's pairs of words that the context has, or by a model's
+    probability if there is one; 0.5 without context."""
+    if model is not None:
+        return F.when(context.isNull(), 0.5).otherwise(model)
     theirs = T.ngrams(T.words(F.lower(context)), 2)
 
     def of(mine):
@@ -123,10 +143,10 @@ def formatting(a: Column) -> Column:
     return score
 
 
-def evaluation(q: Column, a: Column, context: Column, n_context: Column) -> Column:
+def evaluation(q: Column, a: Column, context: Column, n_context: Column, judged: Column | None = None, checked: Column | None = None) -> Column:
     """All scores of an answer as a struct; all 0 for one of fewer than 15 characters."""
     few = n_context <= 1
-    rel, fact, comp, form = relevance(q, a), factuality(a, context), completeness(q, a), formatting(a)
+    rel, fact, comp, form = relevance(q, a, judged), factuality(a, context, checked), completeness(q, a), formatting(a)
     rel = F.when(few, F.least(F.lit(1.0), rel * 1.2)).otherwise(rel)
     fact = F.when(few, F.greatest(F.lit(0.5), fact)).otherwise(fact)
     comp = comp * F.when((F.length(a) > 20) & ~a.rlike(_UNENDED), 0.8).otherwise(1.0)

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import lists as L
 from ..functions import scores as S
 from ..functions import text as T
+from ..sources.io import written
 
 #: Tags whose content isn't text of the page.
 DROPPED = ["script", "style", "noscript", "svg", "iframe", "form", "nav", "footer"]
@@ -167,26 +168,34 @@ def frontier(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return candidates.select("url").distinct().join(seen.select("url"), "url", "left_anti")
 
 
-def crawl(pages: DataFrame, start: DataFrame, base_domain: str, max_pages: int = 30, wave: int = 10, fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def crawl(pages: DataFrame, start: DataFrame, base_domain: str, max_pages: int = 30, wave: int = 10, fetch: Callable[[DataFrame], DataFrame] | None = None, save: Callable[[DataFrame, DataFrame], None] | None = None, save_each: int = 5) -> DataFrame:
     """Crawl by waves over a page source until ``max_pages`` or nothing is left.
 
     A wave takes the best URLs of the frontier, fetches them (a join with
     ``pages`` unless ``fetch`` is given) and adds their valid links. The wave
-    loop runs on the driver; rows don't go there. Lineage is cut each wave."""
+    loop runs on the driver; rows don't go there. Each wave is a written table. ``save``
+    gets what was found and seen whenever ``save_each`` more pages are there."""
     fetch = fetch or (lambda todo: todo.join(pages, "url"))
-    open_, seen = start.select("url").distinct(), None
-    got = None
-    for _ in range(max(1, 3 * max_pages // wave)):
-        todo = open_.withColumn("priority", S.url_priority(F.col("url"))).orderBy(F.desc("priority"), "url").limit(wave).select("url").checkpoint()
-        if todo.isEmpty():
+
+    open_, seen = written(start.select("url").distinct()), None
+    got, saved, left = None, 0, 3 * max_pages  # so many URLs are tried at most
+    while left > 0:
+        todo = written(prioritized(open_.withColumn("pos", F.col("url"))).limit(min(wave, left)).select("url"))
+        n = todo.count()
+        if not n:
             break
-        seen = todo if seen is None else seen.union(todo).checkpoint()
-        found = fetch(todo).checkpoint()
+        left -= n
+        seen = todo if seen is None else written(seen.union(todo))
+        found = written(fetch(todo))
         got = found if got is None else got.union(found)
-        if got.count() >= max_pages:
+        n = got.count()
+        if save and n >= saved + save_each:
+            save(got, seen)
+            saved = n
+        if n >= max_pages:
             break
-        out = links(found).select(F.col("dst_url").alias("url")).where(is_valid_url(F.col("url"), base_domain))
-        open_ = frontier(open_.union(out), seen).checkpoint()
+        out = links(found.withColumn("page_id", F.lit(0))).select(F.col("dst_url").alias("url")).where(is_valid_url(F.col("url"), base_domain))
+        open_ = written(frontier(open_.union(out), seen))
     got = got if got is not None else pages.limit(0)
     told = got.withColumn("text", main_text(F.col("html"))).withColumn("quality", S.page_quality(F.col("text"), F.col("url")))
     return told.where(T.is_valid_content(F.col("text"))).orderBy(F.desc("quality"), "url").limit(max_pages)

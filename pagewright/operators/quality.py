@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import lists as L
 from ..functions import scores as S
 from ..functions import text as T
 from .retrieve import token_hits
 
 
-def evaluated(pairs: DataFrame, context: str = "context", n_context: str = "n_context") -> DataFrame:
-    """Pairs with all scores, rounded to six digits."""
-    s = S.evaluation(F.col("question"), F.col("answer"), F.col(context), F.col(n_context))
+def evaluated(pairs: DataFrame, context: str = "context", n_context: str = "n_context", judge=None, check=None) -> DataFrame:
+    """Pairs with all scores, rounded to six digits. ``judge`` (question, answer) and
+    ``check`` (answer, context) are a model's probabilities, if there are any."""
+    q, a, c = F.col("question"), F.col("answer"), F.col(context)
+    s = S.evaluation(q, a, c, F.col(n_context), judge(q, a) if judge else None, check(a, c) if check else None)
     out = pairs.withColumn("_s", T.let(s, lambda x: x))
     return out.select(*pairs.columns, *[F.round(F.col(f"_s.{k}"), 6).alias(k) for k in ("relevance", "factuality", "completeness", "formatting", "overall")])
 
@@ -144,14 +145,6 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     return out.select((F.col("conv_id") * F.lit(1 << 31) + F.col("turn")).alias("pos"), "conv_id", "turn", "question", "answer", F.concat(F.lit("conv://"), F.col("conv_id").cast("string")).alias("source_url"), "context", F.coalesce("n_context", F.lit(0)).alias("n_context"))
 
 
-def answered(hits: DataFrame, answer: str | None = None) -> DataFrame:
-    """Answers of questions without a model: fixed sentences; ``answer`` names a
-    column of candidate answers where a model gave some."""
-    if answer is None:
-        return hits.withColumn("answer", F.lit(L.NO_ANSWER))
-    return hits.withColumn("answer", T.format_answer(F.col(answer)))
-
-
 def near_duplicate_texts(docs: DataFrame, id_col: str, text_col: str, head: int | None = 40, like: float = 0.8) -> DataFrame:
     """Links (a_id, b_id) of texts that are too similar: one inside the other if
     either has fewer than 100 characters, else by their distinct runs of three

@@ -477,12 +477,7 @@ def redundancy_elimination(s, d):
 
 @query
 def stream_ingest_dedupe(s, d):
-    conf = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf:
-        import tempfile
-
-        conf = tempfile.mkdtemp(prefix="pagewright-stream-")
-    return distinct_events(s, f"{d}/events.parquet", "user_id", conf)
+    return distinct_events(s, f"{d}/events.parquet", "user_id", io.work_dir(s))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

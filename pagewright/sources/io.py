@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -32,6 +34,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a
+    local session may do without and gets one of its own."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        known = sc._jsc.sc().getCheckpointDir()
+        if known.isEmpty():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
+        at = sc._jsc.sc().getCheckpointDir().get()
+    return at.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder, with its lineage cut."""
+    path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_key(base_url: Column) -> Column:
     """The name that a site's files share."""
     return F.md5(base_url)
