@@ -64,11 +64,13 @@ def releasing(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (a local session, as in tests) a folder is made."""
+    Only a local session (as in tests) may do without; a folder is made for it."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
