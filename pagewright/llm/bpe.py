@@ -46,9 +46,10 @@ from .common import releasing, small_batches
 
 #: Longest text piece that is looked at as a whole.
 PIECE_CHARS = 1 << 16
-#: Words with their tokens, and pairs of tokens that were tried, kept by a worker;
-#: cleared when full.
-MEMO_WORDS, MEMO_PAIRS = 200_000, 200_000
+#: Words with their tokens in each of two generations, and pairs of tokens that were
+#: tried, kept by a worker. A full generation becomes the older one, whose words come
+#: back when they are met again, so that frequent words stay.
+MEMO_WORDS, MEMO_PAIRS = 150_000, 200_000
 #: Longer words aren't kept.
 MEMO_LEN = 48
 
@@ -316,6 +317,7 @@ class Encoder:
     def __init__(self, merges: MergeList):
         self.m = merges
         self.memo: dict[str, Entry] = {}
+        self.older: dict[str, Entry] = {}
         self.buffer, self.run = "", None
         specials = sorted(merges.special, key=len, reverse=True)
         if any(re.search(r"\s", t) for t in specials):
@@ -328,13 +330,11 @@ class Encoder:
         return tuple(ids), " ".join(map(str, ids))
 
     def of_word(self, word: str) -> Entry:
-        got = self.memo.get(word)
-        if got is None:
-            got = self.entry(WordTransducer(self.m).whole(_symbols_of(word)))
-            if len(word) <= MEMO_LEN:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.memo = {}
-                self.memo[word] = got
+        got = self.memo.get(word) or self.older.get(word) or self.entry(WordTransducer(self.m).whole(_symbols_of(word)))
+        if len(word) <= MEMO_LEN:
+            if len(self.memo) >= MEMO_WORDS:
+                self.older, self.memo = self.memo, {}
+            self.memo[word] = got
         return got
 
     def of_special(self, token: str) -> Entry:
