@@ -99,6 +99,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
+    def sweep(self) -> None:
+        """Let go of the shuffle files of tables already written. Spark deletes them
+        when the driver collects their plans, by itself every half hour."""
+        self.spark._jvm.System.gc()
+
 
 # --- vectorised hashing -----------------------------------------------------
 

@@ -9,7 +9,11 @@ Sets of word shingles under Jaccard distance are a metric space. The join:
    last, the rest go by hash. Two sets within the radius share one of their
    first n - ceil(t n) + 1 shingles, so each such shingle spans a region and no
    pair within the radius is outside all regions. The summary only decides the
-   order; any order is exact. Regions with the same members are one.
+   order; any order is exact. Where the first shingle that two sets share stands
+   in each bounds what they can share; a member that this rules out with all
+   others of a region leaves it (a shingle shared by chance leaves none), and a
+   region falls apart where no pair is left across. Regions with the same members
+   are one.
 3. In each region the member that is in most regions is the pivot; members within the radius of
    it belong to its cell, one component. Cells form in the first rounds, each
    member meeting one pivot a round. Regions that lie in one component are done.
@@ -36,6 +40,7 @@ class has none. Extra columns aren't read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +63,9 @@ BUCKET_ENTRIES, HELD_ENTRIES = 400_000, 500_000
 #: First rounds, in which cells form; members of a region that is joined as a
 #: whole after them; the rounds after which a larger one is, in blocks of members.
 CELL_ROUNDS, WHOLE_REGION, PIVOT_ROUNDS, BLOCK = 2, 3000, 4, 1000
+#: Members of a region whose pairs are looked at one by one when it is made; a
+#: larger one is kept whole. Steps of a size's code for each doubling.
+FEW_MEMBERS, STEPS = 500, 2048
 #: Ids broadcast at most; more go by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -154,25 +162,28 @@ def _ordered_prefix(s: np.ndarray, heavy: np.ndarray, num: int, den: int) -> np.
 
 
 def _entries(docs: DataFrame, text_col: str, width: int, heavy: np.ndarray, buckets: int, num: int, den: int) -> DataFrame:
-    """Prefix shingles with their set's digest, packed by bucket."""
+    """Prefix shingles with their set's digest and size and their place in it, packed by bucket."""
 
     @releasing
     def run(batches):
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        places: list[np.ndarray] = []
         held, seen = 0, set()
 
         def flush():
-            key, owner = np.concatenate(keys), np.concatenate(owners)
+            key = np.concatenate(keys)
             bucket = (key % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            key, owner, bucket = (key[order] // np.uint64(buckets)).astype(np.uint32), owner[order], bucket[order]
+            key, bucket = (key[order] // np.uint64(buckets)).astype(np.uint32), bucket[order]
+            packed = [key] + [np.concatenate(x)[order] for x in (owners, sizes, places)]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for i in range(0, len(cut) - 1, 256):
                 part = [(cut[j], cut[j + 1]) for j in range(i, min(i + 256, len(cut) - 1))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket[a] for a, _ in part], pa.int32()), pa.array([key[a:b].tobytes() for a, b in part], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in part], pa.binary())],
-                    names=["bucket", "keys", "owners"],
+                    [pa.array([bucket[a] for a, _ in part], pa.int32())] + [pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in packed],
+                    names=["bucket", "keys", "owners", "sizes", "places"],
                 )
 
         for batch in batches:
@@ -188,37 +199,85 @@ def _entries(docs: DataFrame, text_col: str, width: int, heavy: np.ndarray, buck
                 k = _ordered_prefix(s, heavy, num, den)
                 keys.append(k)
                 owners.append(np.full(len(k), d, np.int64))
+                sizes.append(np.full(len(k), size_code(len(s)), np.uint16))
+                places.append((np.arange(len(k)) * 256 // len(s)).astype(np.uint8))
                 held += len(k)
             if held >= HELD_ENTRIES:
                 yield from flush()
-                keys, owners, held = [], [], 0
+                keys, owners, sizes, places, held = [], [], [], [], 0
         if held:
             yield from flush()
 
-    return docs.select(text_col).mapInArrow(run, "bucket int, keys binary, owners binary")
+    return docs.select(text_col).mapInArrow(run, "bucket int, keys binary, owners binary, sizes binary, places binary")
 
 
-def _regions(table: pa.Table) -> pa.Table:
+def size_code(n: int) -> int:
+    """A set's size in two bytes; ``_size_range`` has it inside."""
+    return min(int(STEPS * math.log2(n)), 65535)
+
+
+def _size_range(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the sizes of a code, a step wider on each side than rounding asks for."""
+    code = code.astype(np.float64)
+    return np.exp2((code - 1) / STEPS), np.where(code < 65535, np.exp2((code + 2) / STEPS), np.inf)
+
+
+def partners(key: np.ndarray, least: np.ndarray, left: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """For each member, ordered by key and least size: whether some other of its
+    key may be within the radius, and the last such one after it (else itself).
+
+    Two sets whose first common member leaves x in one and y in the other, it
+    included, share min(x, y) members at most; ``left`` has upper bounds of these."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(start, len(key)))
+    end = np.repeat(start + size, size)
+    whole = np.repeat(size > FEW_MEMBERS, size)
+    some, last = whole.copy(), np.where(whole, end - 1, np.arange(len(key)))
+    at, d = np.flatnonzero(~whole), 0
+    while len(at):
+        d += 1
+        at = at[at + d < end[at]]
+        need = num * (least[at] + least[at + d])
+        # sizes rise, so one that is too large for a member is followed by such only
+        ok = left[at] * (num + den) >= need
+        at, need = at[ok], need[ok]
+        near = at[left[at + d] * (num + den) >= need]
+        some[near] = some[near + d] = True
+        last[near] = near + d
+    return some, last
+
+
+def _regions(table: pa.Table, num: int, den: int) -> pa.Table:
     """The regions of one bucket: (region, member), a region named by its members."""
-    key = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["keys"]])
-    owner = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["owners"]])
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
+    key, owner, size, place = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[k]]) for k, kind in (("keys", np.uint32), ("owners", np.int64), ("sizes", np.uint16), ("places", np.uint8)))
+    order = np.lexsort((place, owner, key))
+    key, owner, size, place = key[order], owner[order], size[order], place[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-    key, owner = key[new], owner[new]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    end = np.append(start[1:], len(key))
+    # only keys of two members at least
+    often = new & np.isin(key, key[new][1:][key[new][1:] == key[new][:-1]])
+    key, owner, size, place = key[often], owner[often], size[often], place[often]
+    order = np.lexsort((owner, size, key))
+    key, owner, size, place = key[order], owner[order], size[order], place[order]
+    one = np.empty(0, np.int64)
+    if not len(key):
+        return pa.table({"region": one, "member": one})
+    least, most = _size_range(size)
+    some, last = partners(key, least, most * (256 - place.astype(np.float64)) / 256, num, den)
+    # a region ends where no member reaches further
+    part = np.cumsum(np.concatenate([[True], np.maximum.accumulate(last)[:-1] < np.arange(1, len(key))]))[some]
+    owner = owner[some]
+    order = np.lexsort((owner, part))
+    owner, part = owner[order], part[order]
+    start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else one
+    end = np.append(start[1:], len(part))
     names, members, seen = [], [], set()
     for a, b in zip(start, end):
-        if b - a < 2:
-            continue
         m = owner[a:b]
         name = int.from_bytes(hashlib.blake2b(m.tobytes(), digest_size=8).digest(), "little", signed=True)
         if name not in seen:
             seen.add(name)
             names.append(np.full(b - a, name, np.int64))
             members.append(m)
-    one = np.empty(0, np.int64)
     return pa.table({"region": np.concatenate(names) if names else one, "member": np.concatenate(members) if members else one})
 
 
@@ -247,9 +306,11 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of a set's members in ranges of the hash, about one in each. Two
-    sets differ in at least as many members as their counts differ by."""
+    """Counts of a set's members in ranges of the hash, about one in each, of large
+    sets two to four. Two sets differ in at least as many members as their counts
+    differ by; unrelated ones of n members by about 1.1 n / sqrt(members a range)."""
     bits = max(4, (max(len(s) - 1, 1)).bit_length())
+    bits = max(min(bits, 6), bits - 2)
     counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
@@ -362,8 +423,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries) // BUCKET_ENTRIES + 1)
     packed = _entries(docs, text_col, width, heavy_table, buckets, num, den)
-    regions = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_regions, "region long, member long")
+    regions = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _regions(t, num, den), "region long, member long")
     regions = scratch.put(regions.distinct(), "regions-0")
+    scratch.sweep()
 
     links = None
     wanted = regions.select(F.col("member").alias("digest")).distinct()
@@ -396,11 +458,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 spokes = open_.where((F.col("members") > WHOLE_REGION) & (F.col("member") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("member").alias("b"))
                 maybe = maybe.union(spokes).distinct()
         maybe = scratch.put(maybe, f"maybe-{round_}")
+        scratch.sweep()
         ends = maybe.select(F.col("a").alias("digest")).union(maybe.select("b")).distinct()
         ends = scratch.put(wanted.join(ends, "digest", "left_semi"), f"ends-{round_}")
         sets = scratch.put(_sets(docs, ends, id_col, text_col, width, "members"), f"sets-{round_}")
         distances = scratch.put(_distances(maybe, sets), f"distances-{round_}")
         scratch.drop(f"sets-{round_}")
+        scratch.sweep()
         new = distances.where(F.col("common") * den >= F.col("total") * num).select("a", "b")
         links = new if links is None else links.union(new)
         roots = components(links, scratch, f"cc{round_}")

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagewright.llm import common, jaccard, neardup, simhash
+from pagewright.llm.common import Scratch
 from pagewright.llm.components import components
 
 
@@ -60,6 +62,59 @@ def test_last_round_joins_windows_of_every_size(spark, monkeypatch):
     assert got == brute(docs) and len({c for _, c in got.values()}) == 6
 
 
+def test_a_shingle_shared_by_chance_makes_no_region(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common = min((" ".join(word() for _ in range(5)) for _ in range(3000)), key=lambda x: int(jaccard.shingle_set(x)[0]))
+    texts = [" ".join([common] + [word() for _ in range(n)]) for n in (5, 12, 30, 70, 160)]
+    docs = list(enumerate(texts + [f"{texts[-1]} {word()}"]))
+    rows, put = {}, Scratch.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == brute(docs) and got[5][1] == 4
+    # the one pair near enough in size is the one region
+    assert rows["regions-0"] == 2 and rows["sketches"] == 2
+
+
+def test_regions_hold_every_pair_within_the_radius():
+    rng = np.random.default_rng(8)
+    for num, den in ((75, 100), (1, 2), (9, 10), (1, 1)) * 6:
+        sets = []
+        for n in rng.choice([1, 2, 3, 4, 7, 8, 20, 50, 200], 12):
+            base = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+            for _ in range(5):
+                k, m = rng.integers(0, n // 3 + 1, 2)
+                sets.append(np.unique(np.concatenate([rng.permutation(base)[k:], rng.integers(0, 1 << 62, m, dtype=np.uint64)])))
+        heavy = np.unique(np.concatenate([x[rng.random(len(x)) < 0.2] for x in sets]))
+        heavy = np.stack([heavy, rng.permutation(len(heavy)).astype(np.uint64)])
+        keys = [jaccard._ordered_prefix(x, heavy, num, den) for x in sets]
+        column = lambda f, kind: [np.concatenate([np.asarray(f(x, k)).astype(kind) for x, k in zip(sets, keys)]).tobytes()]
+        packed = pa.table(
+            {
+                "keys": column(lambda x, k: k >> np.uint64(32), np.uint32),
+                "owners": column(lambda x, k: np.full(len(k), jaccard.digest(x)), np.int64),
+                "sizes": column(lambda x, k: np.full(len(k), jaccard.size_code(len(x))), np.uint16),
+                "places": column(lambda x, k: np.arange(len(k)) * 256 // len(x), np.uint8),
+            }
+        )
+        members = {}
+        for r in jaccard._regions(packed, num, den).to_pylist():
+            members.setdefault(r["region"], set()).add(r["member"])
+        for x in sets:
+            for y in sets:
+                both = len(np.intersect1d(x, y))
+                a, b = jaccard.digest(x), jaccard.digest(y)
+                if a < b and both * den >= num * (len(x) + len(y) - both):
+                    assert any(a in m and b in m for m in members.values())
+
+
 def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(50):
