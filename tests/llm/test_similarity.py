@@ -123,6 +123,16 @@ def test_sketch_is_a_lower_bound():
         assert jaccard.sketch_apart(jaccard.sketch(x), jaccard.sketch(y)) <= len(np.setxor1d(x, y))
 
 
+def test_sketches_of_large_sets_are_smaller_than_the_set():
+    # the pipeline's second stage moves one for each member of a region
+    for n in (200, 1000, 20_000):
+        x = np.unique(np.random.default_rng(n).integers(0, 1 << 62, n, dtype=np.uint64) * np.uint64(4))
+        y = np.unique(np.random.default_rng(n + 1).integers(0, 1 << 62, n, dtype=np.uint64) * np.uint64(4))
+        assert 2 * len(jaccard.sketch(x)) <= n
+        # still enough to tell unrelated sets apart
+        assert jaccard.sketch_apart(jaccard.sketch(x), jaccard.sketch(y)) * 175 > 2 * n * 25
+
+
 def test_simhash(spark):
     docs = [(i, f"doc {i} " + " ".join(f"w{(i * 7 + k) % 90}" for k in range(60))) for i in range(30)] + [(50, None), (100, "same text here"), (150, "same text here"), (None, "x")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
