@@ -20,7 +20,10 @@ Sets of word shingles under Jaccard distance are a metric space. The join:
    Those around one pivot are merged, so that a pair meets once, and split by the distance to the empty set, that is, by size:
    windows of size classes, each with the smaller class as its boundary. A window
    is joined in memory between components, where sizes and count sketches rule
-   out pairs by lower bounds that can't err; the pairs left get exact distances.
+   out pairs by lower bounds that can't err. Pairs are never written: members that
+   the pairs left hold together are a group, whose sets are then counted against
+   each other in memory, and only links that unite components come out, fewer
+   than the group has members.
    A window too large for that is told apart by exact distances to its pivot: by
    the triangle inequality a pair within the radius differs by at most the radius
    there, so bands as wide as the radius, each with the members of the next band
@@ -66,6 +69,9 @@ CELL_ROUNDS, WHOLE_REGION, PIVOT_ROUNDS, BLOCK = 2, 3000, 4, 1000
 #: Members of a region whose pairs are looked at one by one when it is made; a
 #: larger one is kept whole. Steps of a size's code for each doubling.
 FEW_MEMBERS, STEPS = 500, 2048
+#: Shingles in the sets of one part of a group; a larger group is counted part
+#: against part. Shared shingles counted at once.
+PART_ENTRIES, COUNTED = 1 << 21, 1 << 20
 #: Ids broadcast at most; more go by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -347,10 +353,12 @@ def class_starts(most: int, num: int = NUM, den: int = DEN) -> list[int]:
     return out
 
 
-def near_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes], side: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (two arrays) of different components that sizes and sketches leave possible.
-    With ``side`` 0 and 1 (two blocks) only pairs across; else -1."""
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def candidate_groups(root: np.ndarray, n: np.ndarray, sketches: list[bytes], side: np.ndarray, own: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """The group of each member: those that pairs of different components, which
+    sizes and sketches leave possible, hold together. A member without such a pair
+    is alone. With ``side`` 0 and 1 (two blocks) only pairs across count; else -1.
+    Of two members one at least is ``own``; the others' pairs meet elsewhere."""
+    group = np.arange(len(root))
     folded: dict[int, np.ndarray] = {}
 
     def at_length(k):
@@ -360,8 +368,10 @@ def near_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list
         return folded[k]
 
     long = np.array([len(x) for x in sketches])
-    for i in range(len(node)):
-        ok = (n * den >= n[i] * num) & (n[i] * den >= n * num) & (root != root[i]) & (node > node[i])
+    for i in range(len(root)):
+        # members of one group already need no look at their pair
+        ok = (n * den >= n[i] * num) & (n[i] * den >= n * num) & (root != root[i]) & (group != group[i]) & (own | own[i])
+        ok[:i] = False
         if side[i] >= 0:
             ok &= side != side[i]
         js = np.flatnonzero(ok)
@@ -370,32 +380,100 @@ def near_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list
             f = at_length(int(k))
             apart = np.abs(f[some] - f[i]).sum(axis=1, dtype=np.int64)
             some = some[apart * (den + num) <= (n[some] + n[i]) * (den - num)]
-            left.append(np.full(len(some), node[i], np.int64))
-            right.append(node[some])
-    return np.concatenate(left), np.concatenate(right)
+            for g in np.unique(group[some]):
+                group[group == g] = group[i]
+    return group
+
+
+def parts(n: np.ndarray) -> list[np.ndarray]:
+    """Positions of a group's members, of the sizes ``n``, in parts that are counted
+    at once: all, or every two of the pieces that hold about ``PART_ENTRIES``."""
+    piece = (np.cumsum(n) - n) // PART_ENTRIES
+    pieces = [np.flatnonzero(piece == k) for k in np.unique(piece)]
+    if len(pieces) == 1:
+        return pieces
+    return [np.concatenate([x, y]) for i, x in enumerate(pieces) for y in pieces[:i]]
+
+
+def uniting_links(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """Links (two arrays) of members within the radius, by exact distances, that
+    unite all components which such links of these members do; no more than that takes."""
+    m, size = len(sets), np.array([len(s) for s in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(m, dtype=np.int32), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    last = np.flatnonzero(np.concatenate([values[1:] != values[:-1], [True]])) + 1
+    end = np.repeat(last, np.diff(last, prepend=0))
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    start, part, left, right = np.cumsum(size) - size, np.unique(root, return_inverse=True)[1], [], []
+    for i in range(m - 1):
+        # the owners of a shingle stand in order: those after this one
+        a = at[start[i] : start[i] + size[i]] + 1
+        times = end[a - 1] - a
+        common, done = np.zeros(m, np.int64), 0
+        upto = np.cumsum(times)
+        while done < len(a):
+            stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + COUNTED, "right")))
+            t = times[done:stop]
+            where = np.repeat(a[done:stop] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+            common += np.bincount(owner[where], minlength=m)
+            done = stop
+        for j in np.flatnonzero((common > 0) & (common * den >= (size + size[i] - common) * num)):
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                left.append(node[i])
+                right.append(node[j])
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _windows(open_: DataFrame, starts: list[int]) -> DataFrame:
+    """Open regions by size windows: (region, w, pivot, member, root, n, own, m) with
+    the window's number of members. Members of the smaller class aren't its own."""
+    cls = sum((F.when(F.col("n") >= v, 1).otherwise(0) for v in starts), F.lit(0))
+    windows = open_.withColumn("c", cls).withColumn("w", F.explode(F.array(F.col("c"), F.col("c") + 1))).withColumn("own", F.col("c") == F.col("w"))
+    size = windows.groupBy("region", "w").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("own").alias("any")).where("r0 <> r1 and any")
+    return windows.join(size.select("region", "w", "m"), ["region", "w"]).select("region", "w", "pivot", "member", "root", "n", "own", "m")
 
 
-def _join_regions(open_: DataFrame, sketches: DataFrame, starts: list[int], whole: bool, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) of the size windows of open regions, those larger
-    than ``WHOLE_REGION`` only if ``whole``, in blocks against blocks."""
-    cls = sum((F.when(F.col("n") >= v, 1).otherwise(0) for v in starts), F.lit(0))
-    windows = open_.withColumn("c", cls).withColumn("w", F.explode(F.array(F.col("c"), F.col("c") + 1)))
-    size = windows.groupBy("region", "w").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    size = size if whole else size.where(F.col("m") <= WHOLE_REGION)
-    blocks = F.when(F.col("m") > WHOLE_REGION, F.ceil(F.col("m") / BLOCK).cast("int")).otherwise(1)
-    told = windows.join(size.select("region", "w", blocks.alias("blocks")), ["region", "w"]).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+def _groups(windows: DataFrame, sketches: DataFrame, whole: bool, num: int, den: int) -> DataFrame:
+    """(grp, member, root): members whose sets are to be counted against each other,
+    a group named by its members. Of windows larger than ``WHOLE_REGION`` only if
+    ``whole``, in blocks against blocks."""
+    told = windows if whole else windows.where(F.col("m") <= WHOLE_REGION)
+    told = told.withColumn("blocks", F.when(F.col("m") > WHOLE_REGION, F.ceil(F.col("m") / BLOCK).cast("int")).otherwise(1)).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     # a block meets itself and every other: (lesser, greater)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     told = told.withColumn("o", other).withColumn("b0", F.least("block", "o")).withColumn("b1", F.greatest("block", "o"))
     told = told.withColumn("side", F.when(F.col("b0") == F.col("b1"), -1).otherwise((F.col("block") == F.col("b1")).cast("int")))
-    told = told.join(sketches.select(F.col("digest").alias("member"), "sketch"), "member").select("region", "w", "b0", "b1", "member", "root", "n", "side", "sketch")
+    told = told.join(sketches.select(F.col("digest").alias("member"), "sketch"), "member").select("region", "w", "b0", "b1", "member", "root", "n", "side", "own", "sketch")
+
+    def find(t: pa.Table) -> pa.Table:
+        t = t.sort_by("member")
+        member, root, n, side, own = (t[k].to_numpy() for k in ("member", "root", "n", "side", "own"))
+        group = candidate_groups(root, n, t["sketch"].to_pylist(), side, own, num, den)
+        order = np.argsort(group, kind="stable")
+        cut = np.flatnonzero(np.diff(group[order])) + 1
+        out = [(np.empty(0, np.int64),) * 3]
+        for found in np.split(order, cut):
+            for some in parts(n[found]) if len(found) > 1 else ():
+                x = found[some]
+                name = int.from_bytes(hashlib.blake2b(np.sort(member[x]).tobytes(), digest_size=8).digest(), "little", signed=True)
+                out.append((np.full(len(x), name, np.int64), member[x], root[x]))
+        return pa.table(dict(zip(("grp", "member", "root"), map(np.concatenate, zip(*out)))))
+
+    return told.groupBy("region", "w", "b0", "b1").applyInArrow(find, "grp long, member long, root long").distinct()
+
 
-    def join(t: pa.Table) -> pa.Table:
-        col = lambda k: np.asarray(t[k])
-        a, b = near_pairs(col("member"), col("root"), col("n"), t["sketch"].to_pylist(), col("side"), num, den)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _united(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that unite components of a group, fewer than it has members."""
+    told = groups.join(sets.select(F.col("digest").alias("member"), "members"), "member")
 
-    return told.groupBy("region", "w", "b0", "b1").applyInArrow(join, "a long, b long").distinct()
+    def unite(t: pa.Table) -> pa.Table:
+        a, b = uniting_links(t["member"].to_numpy(), t["root"].to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in t["members"]], num, den)
+        return pa.table({"a": a, "b": b})
+
+    return told.groupBy("grp").applyInArrow(unite, "a long, b long").distinct()
 
 
 def _few(df: DataFrame, n: int) -> DataFrame:
@@ -446,6 +524,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         # a pair whose sizes are further apart than the radius can't be within it
         near_size = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+        windows = groups = None
         if round_ < CELL_ROUNDS:
             # cells first: each member meets one pivot of another component
             spokes = open_.join(labels.select(F.col("node").alias("pivot"), F.col("root").alias("p_root")), "pivot").where("p_root <> root")
@@ -453,19 +532,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             spokes = spokes.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(near_size).select("a", "b")
             maybe = _maybe_near(spokes, sketches, num, den)
         else:
-            maybe = _join_regions(open_, sketches, starts, round_ >= PIVOT_ROUNDS, num, den)
-            if round_ < PIVOT_ROUNDS:  # the bands of larger windows need all distances to the pivots
-                spokes = open_.where((F.col("members") > WHOLE_REGION) & (F.col("member") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("member").alias("b"))
-                maybe = maybe.union(spokes).distinct()
+            windows = scratch.put(_windows(open_, starts), f"windows-{round_}")
+            groups = scratch.put(_groups(windows, sketches, round_ >= PIVOT_ROUNDS, num, den), f"groups-{round_}")
+            # the bands of larger windows need all distances to the pivots
+            maybe = _too_large(windows).where(F.lit(round_ < PIVOT_ROUNDS)).select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct()
         maybe = scratch.put(maybe, f"maybe-{round_}")
         scratch.sweep()
-        ends = maybe.select(F.col("a").alias("digest")).union(maybe.select("b")).distinct()
+        ends = maybe.select(F.col("a").alias("digest")).union(maybe.select("b"))
+        ends = (ends if groups is None else ends.union(groups.select("member"))).distinct()
         ends = scratch.put(wanted.join(ends, "digest", "left_semi"), f"ends-{round_}")
         sets = scratch.put(_sets(docs, ends, id_col, text_col, width, "members"), f"sets-{round_}")
         distances = scratch.put(_distances(maybe, sets), f"distances-{round_}")
-        scratch.drop(f"sets-{round_}")
-        scratch.sweep()
         new = distances.where(F.col("common") * den >= F.col("total") * num).select("a", "b")
+        if groups is not None:
+            new = new.union(scratch.put(_united(groups, sets, num, den), f"united-{round_}"))
+        scratch.drop(f"sets-{round_}", f"groups-{round_}")
+        scratch.sweep()
         links = new if links is None else links.union(new)
         roots = components(links, scratch, f"cc{round_}")
         labels = scratch.put(wanted.select(F.col("digest").alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), f"labels-{round_}")
@@ -475,9 +557,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             # regions around one pivot hold much the same members: as one, each pair meets once
             regions = scratch.put(open_.select(F.col("pivot").alias("region"), "member").distinct(), "merged")
         if round_ >= CELL_ROUNDS:
-            regions = scratch.put(_next_regions(open_, distances, round_, num, den), f"regions-{round_ + 1}")
+            regions = scratch.put(_next_regions(windows, distances, round_, num, den), f"regions-{round_ + 1}")
             scratch.drop(f"regions-{round_}" if round_ > CELL_ROUNDS else "merged")
-        scratch.drop(f"open-{round_}", f"maybe-{round_}")
+        scratch.drop(f"open-{round_}", f"maybe-{round_}", f"windows-{round_}")
         round_ += 1
 
     reps = classes.join(labels, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "digest").alias("root"))
@@ -487,20 +569,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component_id", id_col).alias("component_id"))
 
 
-def _next_regions(open_: DataFrame, distances: DataFrame, round_: int, num: int, den: int) -> DataFrame:
+def _too_large(windows: DataFrame) -> DataFrame:
+    """The members, but for the pivots, of windows too large to be joined at once."""
+    return windows.where((F.col("m") > WHOLE_REGION) & (F.col("member") != F.col("pivot")))
+
+
+def _next_regions(windows: DataFrame, distances: DataFrame, round_: int, num: int, den: int) -> DataFrame:
     """The regions of the next round from the members' distances to the pivots.
 
-    Windows of regions that are small enough have been joined. In larger ones the
-    pivot is done: it has met all members. The others fall into bands as wide
-    as the radius; a band's region holds the next band too."""
-    rest = open_.where((F.col("members") > WHOLE_REGION) & (F.col("member") != F.col("pivot")))
+    Windows that are small enough have been joined. In larger ones the pivot is
+    done: it has met all members. The others fall into bands as wide as the
+    radius; a band's region holds the next band too."""
+    rest = _too_large(windows)
     d = distances.select(F.col("a").alias("pivot"), F.col("b").alias("member"), "common", "total")
     rest = rest.join(d, ["pivot", "member"])
     # floor of distance / radius, in whole numbers
     band = F.floor((F.col("total") - F.col("common")) * den / (F.col("total") * (den - num))).cast("int")
-    windows = F.array_distinct(F.array(F.greatest(band - 1, F.lit(0)), band))
-    out = rest.select("region", "member", F.explode(windows).alias("w"))
-    return out.select(F.xxhash64("region", "w", F.lit(round_)).alias("region"), "member").distinct()
+    bands = F.array_distinct(F.array(F.greatest(band - 1, F.lit(0)), band))
+    out = rest.select("region", "w", "member", F.explode(bands).alias("band"))
+    return out.select(F.xxhash64("region", "w", "band", F.lit(round_)).alias("region"), "member").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, what: str) -> DataFrame:

@@ -115,6 +115,60 @@ def test_regions_hold_every_pair_within_the_radius():
                     assert any(a in m and b in m for m in members.values())
 
 
+def test_a_group_just_outside_the_radius_writes_no_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    base, docs = words(600), []
+    for i in range(80):  # a word in 11 of 120 stretches is the text's own, so that two share about 73 %
+        text = list(base)
+        for k in rng.sample(range(120), 11):
+            text[5 * k + 2] = words(1)[0]
+        docs.append((i, " ".join(text)))
+    docs += [(100 + i, f"{docs[i][1]} {words(1)[0]}") for i in range(5)]
+    rows, put = {}, Scratch.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == brute(docs) and len({c for _, c in got.values()}) > 50
+    assert max(v for k, v in rows.items() if not k.startswith(("regions-0", "open-"))) <= 3 * len(docs), rows
+
+
+def test_links_that_unite_are_those_of_brute_force(monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNTED", 50)
+    rng = np.random.default_rng(4)
+    for entries in (1 << 21, 300, 40):
+        monkeypatch.setattr(jaccard, "PART_ENTRIES", entries)
+        sets = []
+        for n in (1, 3, 8, 20, 60, 60):
+            base = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+            for _ in range(5):
+                k, m = rng.integers(0, n // 4 + 1, 2)
+                sets.append(np.unique(np.concatenate([rng.permutation(base)[k:], rng.integers(0, 1 << 62, m, dtype=np.uint64)])))
+        size = np.array([len(x) for x in sets])
+        root = np.where(rng.random(len(sets)) < 0.8, np.arange(len(sets)), 0)  # some are united already
+        found, times = list(enumerate(root)), 0
+        for some in jaccard.parts(size):
+            a, b = jaccard.uniting_links(some, root[some], [sets[i] for i in some])
+            assert len(a) < len(some)
+            found, times = found + list(zip(a, b)), times + 1
+        assert (times == 1) == (entries == 1 << 21)
+        links = [(x, y) for x in range(len(sets)) for y in range(x) if 175 * len(np.intersect1d(sets[x], sets[y])) >= 75 * (size[x] + size[y])]
+
+        def classes(links):
+            part = np.arange(len(sets))
+            for x, y in links:
+                part[part == part[x]] = part[y]
+            return {tuple(np.flatnonzero(part == k)) for k in part}
+
+        assert classes(found) == classes(links + list(enumerate(root))) and all((max(x, y), min(x, y)) in links for x, y in found[len(sets) :])
+
+
 def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(50):
