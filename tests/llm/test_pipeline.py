@@ -11,6 +11,7 @@ import tokenizers
 
 import corpus_pipeline
 from pagewright.llm import jaccard, langid, mixing, pii
+from pagewright.llm.common import Scratch
 
 WORDS = {"en": "the of and to in is that for it with as was on be by this are from", "de": "der die und den von das mit sich des auf für ist im dem nicht ein"}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, _source string, lang_pred int"
@@ -82,3 +83,26 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         assert out.columns == df.columns and out.count() == 0, name
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_write_no_pairs_of_a_group_outside_the_radius(spark, monkeypatch):
+    rng, rows, put = random.Random(9), {}, Scratch.put
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    base, docs = words(600), []
+    for i in range(60):
+        text = list(base)
+        for k in rng.sample(range(120), 11):
+            text[5 * k + 2] = words(1)[0]
+        docs.append((i, " ".join(text)))
+    docs.append((100, docs[0][1] + " end"))
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert kept == [r[0] for r in same_component(docs)]
+    assert max(v for k, v in rows.items() if not k.startswith(("regions-0", "open-"))) <= 3 * len(docs), rows
