@@ -47,7 +47,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, releasing, shingle_hashes, small_batches, text_bytes, word_hashes
@@ -72,8 +72,9 @@ FEW_MEMBERS, STEPS = 500, 2048
 #: Shingles in the sets of one part of a group; a larger group is counted part
 #: against part. Shared shingles counted at once.
 PART_ENTRIES, COUNTED = 1 << 21, 1 << 20
-#: Ids broadcast at most; more go by a shuffled join.
-BROADCAST_IDS = 1_000_000
+#: Ids broadcast at most; more go by a shuffled join. The most bits that tell the
+#: ids of texts wanted where these are more, sixteen an id as long as that is enough.
+BROADCAST_IDS, ID_BITS = 1_000_000, 1 << 27
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -509,6 +510,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = regions.select(F.col("member").alias("digest")).distinct()
     wanted = scratch.put(wanted.join(classes, "digest"), "wanted")
     sketches = scratch.put(_sets(docs, wanted, id_col, text_col, width, "sketch"), "sketches")
+    scratch.sweep()
     labels = wanted.select(F.col("digest").alias("node"), F.col("digest").alias("root"))
     # the more regions a member is in, the more of it others share: cells grow around such
     degrees = regions.groupBy(F.col("member").alias("node")).agg(F.count("*").alias("degree"))
@@ -542,6 +544,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ends = (ends if groups is None else ends.union(groups.select("member"))).distinct()
         ends = scratch.put(wanted.join(ends, "digest", "left_semi"), f"ends-{round_}")
         sets = scratch.put(_sets(docs, ends, id_col, text_col, width, "members"), f"sets-{round_}")
+        scratch.sweep()
         distances = scratch.put(_distances(maybe, sets), f"distances-{round_}")
         new = distances.where(F.col("common") * den >= F.col("total") * num).select("a", "b")
         if groups is not None:
@@ -590,17 +593,43 @@ def _next_regions(windows: DataFrame, distances: DataFrame, round_: int, num: in
     return out.select(F.xxhash64("region", "w", "band", F.lit(round_)).alias("region"), "member").distinct()
 
 
+def _bit(id_col: str, size: int) -> Column:
+    """The bit of an id, of ``size`` (a power of two)."""
+    return F.xxhash64(id_col).bitwiseAND(F.lit(size - 1)).cast("int").alias("bit")
+
+
+def _id_bits(ids: DataFrame, size: int) -> np.ndarray:
+    """The bits (bit) of ids, eight a byte; all of them for very many ids."""
+    if ids.count() > size // 2:
+        return np.full(size // 8, 255, np.uint8)
+    on = np.zeros(size, bool)
+    on[ids.distinct().toArrow()["bit"].to_numpy()] = True
+    return np.packbits(on, bitorder="little")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, what: str) -> DataFrame:
     """(digest, n, sketch or members) of the wanted classes, from one text of each."""
     n = wanted.count()
     ids = wanted.select(F.col("rep").alias("_rep")).distinct()
-    some = docs.select(id_col, text_col).join(_few(ids, n), F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi")
+    if n <= BROADCAST_IDS:
+        bits = None
+        some = docs.select(id_col, text_col).join(F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi").select(F.lit(0).alias("bit"), text_col)
+    else:
+        # texts never move: ids are told by bits where they lie, and the few texts
+        # whose ids share a bit with another's are told by their digests below
+        size = min(ID_BITS, 1 << (16 * n).bit_length())
+        bits = _id_bits(ids.select(_bit("_rep", size)), size)
+        some = docs.select(_bit(id_col, size), text_col)
 
     @releasing
     def run(batches):
         for batch in batches:
             digests, sizes, held = [], [], []
-            for text in batch.column(0):
+            texts = batch.column(1)
+            if bits is not None:
+                at = batch.column(0).to_numpy()
+                texts = texts.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1, pa.bool_()))
+            for text in texts:
                 s = shingle_set(text.as_py(), width)
                 if len(s):
                     digests.append(digest(s))
@@ -608,7 +637,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
                     held.append(s.tobytes() if what == "members" else sketch(s))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], names=["digest", "n", what])
 
-    made = some.select(text_col).mapInArrow(run, f"digest long, n long, {what} binary")
+    made = some.mapInArrow(run, f"digest long, n long, {what} binary")
     made = made.join(_few(wanted.select("digest"), n), "digest", "left_semi")
     return made.dropDuplicates(["digest"])
 

@@ -106,3 +106,37 @@ def test_near_duplicates_write_no_pairs_of_a_group_outside_the_radius(spark, mon
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert kept == [r[0] for r in same_component(docs)]
     assert max(v for k, v in rows.items() if not k.startswith(("regions-0", "open-"))) <= 3 * len(docs), rows
+
+
+def test_near_duplicates_never_move_texts_to_pick_some(spark, monkeypatch):
+    # more classes than are broadcast; before, texts went through a shuffled join
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.choice([3, 30, 90]))) for _ in range(60)]
+    docs = [*enumerate(texts), (None, "of no id"), (300, None), (301, ""), (3, "another text of this id")]
+    sets = {i: jaccard.shingle_set(t) for i, t in docs[:61]}
+    picked = [i for i in sets if i is None or i % 3 == 0]
+    want = {jaccard.digest(sets[i]): (len(sets[i]), sets[i].tobytes()) for i in picked}
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 2)
+    for kind, name in (("long", lambda i: i), ("string", lambda i: None if i is None else f"{i:04d}")):
+        df = spark.createDataFrame([(name(i), t) for i, t in docs], f"doc_id {kind}, text string")
+        wanted = spark.createDataFrame([(jaccard.digest(sets[i]), name(i)) for i in picked], f"digest long, rep {kind}")
+        # as many bits as are asked for; few, which many ids share; so few that all are set
+        for most in (1 << 27, 64, 8):
+            monkeypatch.setattr(jaccard, "ID_BITS", most)
+            out = jaccard._sets(df, wanted, "doc_id", "text", jaccard.WIDTH, "members")
+            plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+            at = next(k for k, line in enumerate(plan) if "MapInArrow" in line)
+            depth = plan[at].index("MapInArrow")
+            for line in plan[at + 1 :]:  # what stands below the function that reads texts
+                if line.index("- ") + 2 <= depth:
+                    break
+                assert "Exchange" not in line, plan
+            assert {r.digest: (r.n, bytes(r.members)) for r in out.collect()} == want
+
+
+def test_near_duplicates_of_more_classes_than_are_broadcast(spark, monkeypatch):
+    docs = [r[:2] for r in documents() if r[0] is not None]
+    want = [r[0] for r in sorted(same_component(docs), key=lambda r: r[0])]
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 2)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == want
