@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import lists as L
 from ..functions import text as T
@@ -87,31 +93,58 @@ def entities(c: Column) -> Column:
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
+def _weighed(sentences: list[list[str]], top_n: int, most: int) -> list[tuple[str, float]]:
+    """The first ``top_n`` runs of one to three tokens with their rounded scores."""
+    runs = [t + [f"{a} {b}" for a, b in zip(t, t[1:])] + [f"{a} {b} {c}" for a, b, c in zip(t, t[1:], t[2:])] for t in sentences]
+    by_times: dict[int, list[str]] = {}
+    for p, n in Counter(chain.from_iterable(runs)).items():
+        by_times.setdefault(n, []).append(p)
+    first: list[str] = []
+    for n in sorted(by_times, reverse=True):
+        if len(first) < most:
+            first += heapq.nsmallest(most - len(first), by_times[n])
+    known = set(first)
+    counts = [Counter([p for p in r if p in known]) for r in runs]
+    df = Counter(chain.from_iterable(counts))
+    idf = {p: math.log((1 + len(sentences)) / (1 + df[p])) + 1 for p in first}
+    score = dict.fromkeys(idf, 0.0)
+    for c in counts:
+        w = {p: n * idf[p] for p, n in c.items() if p in idf}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        for p, x in w.items():
+            score[p] += x / norm
+    # only what the rounding could bring into the first is rounded, as Spark rounds
+    bar = min(heapq.nlargest(top_n, score.values()), default=0.0) - 2e-6
+    near = [(p, float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))) for p, x in score.items() if x >= bar]
+    return sorted(near, key=lambda x: (-x[1], x[0]))[:top_n]
+
+
 def key_phrases(docs: DataFrame, id_col: str, text: Column, top_n: int = 10, most: int = 100) -> DataFrame:
     """(id, phrase, score, rank): TF-IDF of runs of one to three tokens over each
     document's own sentences; every sentence's weights have unit length.
 
-    Grouping is by document and term, with partial sums; windows are per document."""
+    All is known from one document, so rows are weighed where they lie and nothing
+    is shuffled; documents have different ids."""
     tokens = lambda s: F.filter(F.regexp_extract_all(F.lower(s), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(L.STOP_WORDS))
-
-    def grams(t, n):
-        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    said = docs.where(F.length(text) >= 20).select(F.col(id_col), F.posexplode(T.sentences(text)).alias("sent", "s"))
-    said = said.select(id_col, "sent", tokens(F.col("s")).alias("t"))
-    terms = said.select(id_col, "sent", F.explode(F.concat(*[grams(F.col("t"), n) for n in (1, 2, 3)])).alias("phrase"))
-    tf = terms.groupBy(id_col, "sent", "phrase").agg(F.count("*").alias("tf"))
-    n_sent = docs.where(F.length(text) >= 20).select(F.col(id_col), F.size(T.sentences(text)).alias("n"))
-    per = tf.groupBy(id_col, "phrase").agg(F.sum("tf").alias("times"), F.count("*").alias("df"))
-    by_times = Window.partitionBy(id_col).orderBy(F.desc("times"), "phrase")
-    per = per.withColumn("r", F.row_number().over(by_times)).where(F.col("r") <= most).join(n_sent, id_col)
-    per = per.select(id_col, "phrase", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = tf.join(per, [id_col, "phrase"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col, "sent")))
-    scored = weighed.withColumn("u", F.col("w") / norm).groupBy(id_col, "phrase").agg(F.round(F.sum("u"), 6).alias("score"))
-    best = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "phrase"))
-    out = scored.withColumn("rank", best).where(F.col("rank") <= top_n)
-    return out.where(F.length("phrase") > 3).select(id_col, "phrase", "score", F.col("rank").cast("long").alias("rank"))
+    # a token has no white space: a line a sentence
+    lines = F.array_join(F.transform(T.sentences(text), lambda s: F.array_join(tokens(s), " ")), "\n")
+    said = docs.where((F.length(text) >= 20) & F.col(id_col).isNotNull()).select(F.col(id_col), lines.alias("lines"))
+
+    def weigh(batches):
+        for batch in batches:
+            at: list[int] = []
+            out: list[tuple[str, float, int]] = []
+            for i, t in enumerate(batch.column(1)):
+                best = _weighed([s.split(" ") if s else [] for s in t.as_py().split("\n")], top_n, most)
+                kept = [(p, score, rank) for rank, (p, score) in enumerate(best, 1) if len(p) > 3]
+                at += [i] * len(kept)
+                out += kept
+            cols = list(zip(*out)) if out else [[], [], []]
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], names=[id_col, "phrase", "score", "rank"])
+
+    kind = said.schema[id_col].dataType.simpleString()
+    return said.mapInArrow(weigh, f"`{id_col}` {kind}, phrase string, score double, rank long")
 
 
 def capital_phrases(c: Column, n: int = 10) -> Column:
