@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagewright.operators import chunks as C
+from pagewright.operators import retrieve as R
 
 
 def plan(df):
@@ -16,3 +17,29 @@ def test_key_phrases_shuffles_nothing(spark):
     assert "Exchange" not in plan(out)
     # "red" is second and too short to be told
     assert [(r.doc_id, r.phrase, r.score, r.rank) for r in out.collect()] == [(1, "apples", 0.698996, 1), (1, "red apples", 0.698996, 3)]
+
+
+def test_term_search_moves_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUESTION_BLOCK", 2)  # blocks of questions
+    monkeypatch.setattr(R, "POSITIONS", 7)
+    monkeypatch.setattr(R, "TRIE_CELLS", 20)  # edges too
+    asked = [(1, "the cat sat the end", "s"), (2, "at  a é\tx", "t"), (3, "", "s"), (4, None, "s"), (5, "zz on the cat", None), (6, "n the c", "u")]
+    docs = [(1, "The cats  sat on the end", "s"), (2, "bat\tat a é x", "t"), (3, "", "t"), (4, None, "s"), (5, "on the\ncat sat the", None), (6, "\0the cat sat on the cat\0", "s"), (7, "On the cat sat the end", "u")]
+    q = spark.createDataFrame(asked, "q long, text string, own string")
+    d = spark.createDataFrame(docs, "d long, body string, source string")
+    want, share = [], []
+    for i, text, own in asked:
+        said = (text or "").split()
+        ts = list(dict.fromkeys(said))
+        runs = {" ".join(ts[a : a + m]) for m in (2, 3, 4) for a in range(len(ts) - m + 1)}
+        told = [(j, sum(t in x.lower() for t in ts), sum(p in x.lower() for p in runs)) for j, x, _ in docs if x]
+        first = sorted((-m - 2 * p, j, m, p) for j, m, p in told if m)[:3]
+        want += [(i, j, m, p, -s, r) for r, (s, j, m, p) in enumerate(first, 1)]
+        parts = [(round(sum(t in x.lower() for t in said) / len(said) * (2 if own and own == src else 1), 6), j) for j, x, src in docs if x and said]
+        share += [(i, j, s, r) for r, (s, j) in enumerate(sorted((x for x in parts if x[0]), key=lambda x: (-x[0], x[1]))[:3], 1)]
+    found = R.text_search(q, d, "q", F.col("text"), "d", F.col("body"), 3)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    fall = R.fallback_search(q, d, "q", F.col("text"), F.col("own"), "d", F.col("body"), F.col("source"), 3)
+    assert sorted(tuple(r) for r in fall.collect()) == sorted(share)
+    for df in (found, fall):
+        assert "Join" not in plan(df) and plan(df).count("Exchange") == 1  # the first of each partition
