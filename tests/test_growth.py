@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import chunks as C
 from pagewright.operators import retrieve as R
+from pagewright.plans import registry
 
 
 def plan(df):
@@ -42,4 +43,14 @@ def test_term_search_moves_no_postings(spark, monkeypatch):
     fall = R.fallback_search(q, d, "q", F.col("text"), F.col("own"), "d", F.col("body"), F.col("source"), 3)
     assert sorted(tuple(r) for r in fall.collect()) == sorted(share)
     for df in (found, fall):
-        assert "Join" not in plan(df) and plan(df).count("Exchange") == 1  # the first of each partition
+        again = plan(df.select("*"))
+        assert "Join" not in again and again.count("Exchange") == 1  # the first of each partition
+
+
+def test_quality_is_one_row_a_page(spark, tmp_path):
+    rows = [(1, "http://a", ""), (2, "http://a", ""), (3, "http://a", ""), (4, None, ""), (6, "http://b", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.QUERIES["quality_lookup"](spark, str(tmp_path)).where("url is not null").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "http://a", 0.7), (2, "http://a", 0.7), (3, "http://a", 0.0), (6, "http://b", 0.0)]
+    scores = spark.createDataFrame([("u", 0.2), ("u", 0.4)], "url string, quality double")
+    assert [tuple(r) for r in R.with_quality(spark.createDataFrame([("u",), ("v",)], "url string"), scores).orderBy("url").collect()] == [("u", 0.4), ("v", 0.0)]
