@@ -117,7 +117,7 @@ def clean_artifacts(c: Column) -> Column:
 def fix_ending(c: Column) -> Column:
     """A whole sentence at the end: cut behind the last one if that keeps more
     than 0.7 of the text, else closed by a period."""
-    last = F.length(c) - F.length(F.regexp_extract(c, r"([^.!?]*)$", 1)) - 1
+    last = F.length(c) - F.length(F.substring_index(F.translate(c, "!?", ".."), ".", -1)) - 1
     cut = F.when(last > F.lit(0.7) * F.length(c), F.left(c, last + 1)).otherwise(F.concat(c, F.lit(".")))
     return F.when((c == "") | c.rlike(r"[.!?]$"), c).otherwise(cut)
 

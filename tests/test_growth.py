@@ -1,5 +1,7 @@
 """What must not grow faster than the input."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from pagewright.operators import chunks as C
@@ -54,3 +56,13 @@ def test_quality_is_one_row_a_page(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [(1, "http://a", 0.7), (2, "http://a", 0.7), (3, "http://a", 0.0), (6, "http://b", 0.0)]
     scores = spark.createDataFrame([("u", 0.2), ("u", 0.4)], "url string, quality double")
     assert [tuple(r) for r in R.with_quality(spark.createDataFrame([("u",), ("v",)], "url string"), scores).orderBy("url").collect()] == [("u", 0.4), ("v", 0.0)]
+
+
+def test_endings_take_time_in_proportion(spark, tmp_path):
+    n = 200_000
+    rows = [(1, "a" * n + "." + "b"), (2, "x" + " " * n + "y"), (3, "Done. More"), (4, "One! two?? \n "), (5, "?! ."), (6, "a.b"), (7, "aaaaaa?b\n"), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    start = time.time()
+    got = {r.doc_id: r.text for r in registry.QUERIES["answer_ending"](spark, str(tmp_path)).collect()}
+    assert time.time() - start < 30
+    assert got == {1: "a" * n + ".", 2: "x" + " " * n + "y.", 3: "Done. More.", 4: "One! two.", 5: "", 6: "a.b.", 7: "aaaaaa?", 8: ""}
