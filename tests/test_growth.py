@@ -1,7 +1,11 @@
 """What must not grow faster than the input."""
 
+import random
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagewright.operators import chunks as C
@@ -24,8 +28,6 @@ def test_key_phrases_shuffles_nothing(spark):
 
 def test_term_search_moves_no_postings(spark, monkeypatch):
     monkeypatch.setattr(R, "QUESTION_BLOCK", 2)  # blocks of questions
-    monkeypatch.setattr(R, "POSITIONS", 7)
-    monkeypatch.setattr(R, "TRIE_CELLS", 20)  # edges too
     asked = [(1, "the cat sat the end", "s"), (2, "at  a é\tx", "t"), (3, "", "s"), (4, None, "s"), (5, "zz on the cat", None), (6, "n the c", "u")]
     docs = [(1, "The cats  sat on the end", "s"), (2, "bat\tat a é x", "t"), (3, "", "t"), (4, None, "s"), (5, "on the\ncat sat the", None), (6, "\0the cat sat on the cat\0", "s"), (7, "On the cat sat the end", "u")]
     q = spark.createDataFrame(asked, "q long, text string, own string")
@@ -66,3 +68,32 @@ def test_endings_take_time_in_proportion(spark, tmp_path):
     got = {r.doc_id: r.text for r in registry.QUERIES["answer_ending"](spark, str(tmp_path)).collect()}
     assert time.time() - start < 30
     assert got == {1: "a" * n + ".", 2: "x" + " " * n + "y.", 3: "Done. More.", 4: "One! two.", 5: "", 6: "a.b.", 7: "aaaaaa?", 8: ""}
+
+
+def test_patterns_against_brute_force(monkeypatch):
+    monkeypatch.setattr(R, "POSITIONS", 7)
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("ab c\0é") for _ in range(rnd.randint(1, n)))
+    one, two = ([{word(4): rnd.randint(1, 3) for _ in range(6)} for _ in range(5)] for _ in range(2))
+    texts = [word(40) for _ in range(30)] + ["", "aaaa"]
+    for cells in (1, 20, 1 << 20):  # edges, both, the table
+        monkeypatch.setattr(R, "TRIE_CELLS", cells)
+        got = R._Parts(one, two).ready().counts(texts)
+        for kind, counts in zip((one, two), got):
+            assert counts.tolist() == [[sum(n for p, n in w.items() if p in t) for w in kind] for t in texts]
+    assert R._Parts([{}]).ready().counts(["x"])[0].tolist() == [[0.0]]
+
+
+def test_vector_search_holds_few_scores():
+    rng = np.random.default_rng(1)
+    q, v, k = rng.integers(-3, 4, (1000, 4)).astype(float), rng.integers(-3, 4, (20_000, 4)).astype(float), 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(v))), pa.array(list(v.astype(np.float32)), pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(R._nearest([batch, batch.slice(0, 0)], {4: (list(range(len(q))), q)}, k))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20  # all scores are 160 MB
+    for i in (0, 7, 999):
+        s = v @ q[i]
+        want = sorted((j for j in range(len(v)) if j != i), key=lambda j: (-s[j], j))[:k]
+        assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == i] == [(j, s[j]) for j in want]
