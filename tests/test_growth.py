@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagewright.operators import chunks as C
+from pagewright.operators import quality as Q
 from pagewright.operators import retrieve as R
 from pagewright.plans import registry
 
@@ -97,3 +98,18 @@ def test_vector_search_holds_few_scores():
         s = v @ q[i]
         want = sorted((j for j in range(len(v)) if j != i), key=lambda j: (-s[j], j))[:k]
         assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == i] == [(j, s[j]) for j in want]
+
+
+def test_filter_evaluates_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def one(x):
+        seen.add(1)
+        return x
+
+    rows = [(i, "u", f"answer number {i % 3} of all", i / 10) for i in range(10)]
+    raw = spark.createDataFrame(rows, "pos long, source_url string, answer string, overall double")
+    pairs = raw.withColumn("overall", F.udf(one, "double")("overall"))
+    assert sorted((r.pos, r.overall) for r in Q.filtered(pairs).collect()) == [(7, 0.7), (8, 0.8), (9, 0.9)]
+    assert seen.value == len(rows)
+    assert sorted(r.pos for r in Q.filtered(raw.where("pos < 5")).collect()) == [2, 3, 4]
