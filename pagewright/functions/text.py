@@ -164,16 +164,16 @@ def is_valid_content(c: Column) -> Column:
 # --- sentences ----------------------------------------------------------------
 
 _ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|Inc|Ltd|Co|Sr|Jr"
-_DOTTED = [("Ph.D.", r"\bPh\.D\."), ("M.D.", r"\bM\.D\."), ("B.A.", r"\bB\.A\."), ("M.A.", r"\bM\.A\."), ("i.e.", r"\bi\.e\."), ("e.g.", r"\be\.g\.")]
+# Ph.D., M.D., B.A., M.A., i.e. and e.g., of which none overlap but i.e. before e.g.
+_DOTTED = r"\b(?=Ph\.D\.|M\.D\.|B\.A\.|M\.A\.|i\.e\.|e\.g\.)([A-Za-z]+)\.([A-Za-z])\."
 
 
 def sentences(c: Column) -> Column:
     """Sentences by rule: abbreviations, decimals and hosts don't end one."""
     c = F.regexp_replace(c, rf"\b({_ABBREVIATIONS})\.", "$1<PERIOD>")
-    c = replaced(c, *[(p, d.replace(".", "<PERIOD>")) for d, p in _DOTTED])
-    c = replaced(c, (r"(\d+)\.(\d+)", "$1<PERIOD>$2"), (r"(www\.)|(http\.)", "$1<PERIOD>"))
+    c = replaced(c, (_DOTTED, "$1<PERIOD>$2<PERIOD>"), (r"(\d+)\.(\d+)", "$1<PERIOD>$2"), (r"(www\.)|(http\.)", "$1<PERIOD>"))
     parts = F.split(c, r"(?<=[.!?])\s+(?=[A-Z])")
-    parts = F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"([.!?])\n$", "$1")), lambda s: strip(s) != "")
+    parts = F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"([.!?])\n$", "$1")), lambda s: s.rlike(r"\S"))
     parts = F.transform(parts, lambda s: F.replace(s, F.lit("<PERIOD>"), F.lit(".")))
     return F.transform(parts, lambda s: F.when(s.rlike(r"[.!?]\n?$"), s).otherwise(F.concat(s, F.lit("."))))
 

@@ -57,14 +57,17 @@ def sections(c: Column, by_header: bool = False) -> Column:
 def chunks_of(c: Column, by_header: bool = False, fixed_overlap: bool = False) -> Column:
     """array<struct<idx, text>>: by sections or paragraphs, long ones split into
     windows of sentences. A long chunk of one or two sentences gives none."""
-    base = F.when(F.contains(c, F.lit("#")), sections(c, by_header)).otherwise(pack(paragraphs(c), fixed_overlap=fixed_overlap))
 
     def split(x, i):
         parts = T.let(T.sentences(x), lambda s: F.when(F.size(s) > 0, T.windows_of(s)).otherwise(character_windows(x)))
         many = F.transform(parts, lambda t, k: F.struct((i * 100 + k).cast("int").alias("idx"), t.alias("text")))
         return F.when(F.length(x) > MAX_CHUNK, many).otherwise(F.array(F.struct(i.cast("int").alias("idx"), x.alias("text"))))
 
-    return F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.flatten(F.transform(base, split))).otherwise(F.array().cast("array<struct<idx:int,text:string>>"))
+    def of(c):
+        base = F.when(F.contains(c, F.lit("#")), sections(c, by_header)).otherwise(pack(paragraphs(c), fixed_overlap=fixed_overlap))
+        return F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.flatten(F.transform(base, split))).otherwise(F.array().cast("array<struct<idx:int,text:string>>"))
+
+    return T.let(c, of)  # cleaning, which the text often is, is done once
 
 
 def chunk_documents(docs: DataFrame, url: Column, text: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import lists as L
 from ..functions import scores as S
 from ..functions import text as T
+from ..sources.io import written
 
 
 def topic_content(topics: DataFrame, chunks: DataFrame, budget: int = 1000, least_tail: int = 100) -> DataFrame:
@@ -55,16 +56,18 @@ def rule_questions(topics: DataFrame, chunks: DataFrame, most: int = 3) -> DataF
     that mention a topic; without any, one by the topic's type.
 
     Topics meet chunks by document. A sentence that fits no rule gives nothing."""
-    mention = F.filter(T.sentences(F.col("text")), lambda s: F.contains(F.lower(s), F.lower("topic")))
-    said = topics.join(chunks.select("doc_url", "chunk_ord", "text"), "doc_url", "left").where(F.contains(F.lower("text"), F.lower("topic")))
-    said = said.select("doc_url", "topic", "topic_type", "chunk_ord", F.posexplode(mention).alias("i", "s"))
-    w = Window.partitionBy("doc_url", "topic").orderBy("chunk_ord", "i")
-    first = said.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most)
-    ask = F.coalesce(*[F.when(F.lower("s").rlike(p), F.format_string(q, "topic")) for p, q in _SENTENCE_RULES])
-    by_sentence = first.select("doc_url", "topic", F.col("pos").cast("long").alias("pos"), ask.alias("text"), F.lit(0.65).alias("quality_score")).where("text is not null")
-    none = topics.join(first.select("doc_url", "topic").distinct(), ["doc_url", "topic"], "left_anti")
+    told = topics.join(chunks.select("doc_url", "chunk_ord", "text"), "doc_url", "left")
+    ask = lambda s: F.coalesce(*[F.when(F.lower(s).rlike(p), F.format_string(q, "topic")) for p, q in _SENTENCE_RULES])
+    mention = F.slice(F.filter(T.sentences(F.col("text")), lambda s: F.contains(F.lower(s), F.lower("topic"))), 1, most)
+    asked = F.when(F.contains(F.lower("text"), F.lower("topic")), F.struct("chunk_ord", F.transform(mention, ask).alias("asks")))
+    # topics without a mention stay; of a chunk only its questions go on, none where a sentence fits no rule
+    per = told.select("doc_url", "topic", "topic_type", asked.alias("a")).groupBy("doc_url", "topic", "topic_type").agg(F.sort_array(F.collect_list("a")).alias("a"))
+    first = F.slice(F.flatten(F.transform("a", lambda x: x["asks"])), 1, most)
     by_type = F.coalesce(*[F.when(F.col("topic_type") == t, F.format_string(q, "topic")) for t, q in _TYPE_RULES.items()], F.format_string(_GENERIC, "topic"))
-    return by_sentence.unionByName(none.select("doc_url", "topic", F.lit(1).cast("long").alias("pos"), by_type.alias("text"), F.lit(0.6).alias("quality_score")))
+    item = lambda pos, text, q: F.struct(pos.cast("long").alias("pos"), text.alias("text"), F.lit(q).alias("quality_score"))
+    by_sentence = lambda f: F.filter(F.transform(f, lambda t, i: item(i + 1, t, 0.65)), lambda x: x["text"].isNotNull())
+    out = T.let(first, lambda f: F.when(F.size(f) > 0, by_sentence(f)).otherwise(F.array(item(F.lit(1), by_type, 0.6))))
+    return per.select("doc_url", "topic", F.explode(out).alias("q")).select("doc_url", "topic", "q.*")
 
 
 def without_repeats(questions: DataFrame, group: str, text: str = "text", quality: str = "quality_score", pos: str = "pos") -> DataFrame:
@@ -143,7 +146,8 @@ def topic_questions(topics: DataFrame, chunks: DataFrame, most: int = 3, model:
         model = model.select("doc_url", "topic", F.col("pos").cast("long").alias("pos"), T.clean_question(F.col("text")).alias("text"), F.lit(0.8).alias("quality_score")).where("text <> ''")
         enough = model.groupBy("doc_url", "topic").agg(F.count("*").alias("n")).where(F.col("n") >= most)
         ruled = model.unionByName(ruled.join(enough, ["doc_url", "topic"], "left_anti"))
-    q = ruled.withColumn("_key", F.struct("doc_url", "topic"))
+    # a few rows a topic, used twice
+    q = written(ruled).withColumn("_key", F.struct("doc_url", "topic"))
     kept = without_repeats(q, "_key").select(F.col("_key.doc_url").alias("doc_url"), F.col("_key.topic").alias("topic"), F.col("kept_pos").alias("pos"))
     out = q.drop("_key").join(kept, ["doc_url", "topic", "pos"])
     r = F.row_number().over(Window.partitionBy("doc_url", "topic").orderBy(F.desc("quality_score"), "pos"))

@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as T
 from pagewright.operators import chunks as C
 from pagewright.operators import quality as Q
+from pagewright.operators import questions as G
 from pagewright.operators import retrieve as R
 from pagewright.plans import registry
 
@@ -113,3 +115,32 @@ def test_filter_evaluates_pairs_once(spark):
     assert sorted((r.pos, r.overall) for r in Q.filtered(pairs).collect()) == [(7, 0.7), (8, 0.8), (9, 0.9)]
     assert seen.value == len(rows)
     assert sorted(r.pos for r in Q.filtered(raw.where("pos < 5")).collect()) == [2, 3, 4]
+
+
+def test_rule_questions_read_chunks_once(spark):
+    topics = spark.createDataFrame([("d", "zoo", "LOCATION"), ("e", "zoo", "LOCATION"), ("f", "tea", "GENERAL")], "doc_url string, topic string, topic_type string")
+    chunks = [("d", 1, "A Zoo is big. The zoo opened. No more."), ("d", 0, "Nothing here."), ("d", 2, "You can see the zoo. The zoo was far."), ("f", 0, "Take tea. No tea.")]
+    c = spark.createDataFrame(chunks, "doc_url string, chunk_ord int, text string")
+    out = G.rule_questions(topics, c)
+    assert plan(out).count("Scan ExistingRDD") == 2
+    want = [("d", 1, "What is zoo and what does it offer?", 0.65), ("d", 3, "How can students use zoo?", 0.65), ("e", 1, "Where is zoo located on campus?", 0.6)]
+    assert sorted((r.doc_url, r.pos, r.text, r.quality_score) for r in out.collect()) == want
+
+
+def test_chunks_take_their_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def one(x):
+        seen.add(1)
+        return x
+
+    long = " ".join(f"Sentence {i} is here." for i in range(200))
+    df = spark.createDataFrame([("a", long), ("b", "# x"), ("c", ""), ("d", None)], "u string, t string").coalesce(1)
+    assert C.chunk_documents(df, F.col("u"), F.udf(one, "string")("t")).count() > 3
+    assert seen.value == 4
+
+
+def test_dotted_abbreviations(spark):
+    text = "A Ph.D. B has M.D.M.A. C or i.e.g. D e.g. E i.g. F xPh.D. G Ph.A. H B.A. I"
+    got = spark.createDataFrame([(text,)], "t string").select(T.sentences(F.col("t"))).first()[0]
+    assert got == ["A Ph.D. B has M.D.M.A. C or i.e.g.", "D e.g. E i.g.", "F xPh.D.", "G Ph.A.", "H B.A. I."]
